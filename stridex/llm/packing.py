@@ -15,6 +15,7 @@ carried along; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ CAPACITY = 2048
 END_ID = 0
 #: Mean number of pieces packed together; a worker holds some 50 bytes for each.
 GROUP_PIECES = 50_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 #: Pieces of at least capacity / divisor count as long; 0 sorts all by length.
 LONG_DIVISORS = (4, 8, 16, 0)
 
@@ -39,11 +40,20 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Words of these characters are cut into the tokenizer's own units here; any other word goes to it whole.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: Fixed: the tokenizer's splitting pattern, for lower-cased words of those characters.
+_UNIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+_WORD_END = "</w>"
+
+
 class WordIds(dict):
     """Ids of a word as little-endian 32-bit bytes.
 
     The tokenizer drops white space and never joins across it, so a text's ids are the ids of its
-    words in turn, and most words are met again and again.  When full, the memory starts anew.
+    words in turn, and most words are met again and again.  New words are cut into units, and all
+    new units are tokenized in one call: each unit ends in its only token with the word-end mark.
+    When full, the memory starts anew.
     """
 
     def __init__(self, path: str):
@@ -54,15 +64,55 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for w, k in vocabulary.items() if w.endswith(_WORD_END)]] = True
+        self.units: dict[str, bytes] = {}
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self]
+        new = words.difference(self)
         if len(self) + len(new) > CACHE_WORDS:
-            self.clear()
-            new = list(words)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
+            self.clear(), self.units.clear()
+            new = words
+        cut, whole = {}, []
+        for w in new:
+            s = w.decode()
+            if _PLAIN.fullmatch(s) and "<|" not in s:  # that may begin a special token
+                cut[w] = _UNIT.findall(s.lower())
+            else:
+                whole.append(w)
+        self._learn_units(list({u for units in cut.values() for u in units}.difference(self.units)))
+        for w, units in cut.items():
+            self[w] = self.units[units[0]] if len(units) == 1 else b"".join([self.units[u] for u in units])
+        for w, e in zip(whole, self._encode([w.decode() for w in whole]), strict=True):
             self[w] = np.array(e.ids, "<u4").tobytes()
 
+    def _encode(self, texts: list[str]):
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
+    def _learn_units(self, units: list[str]) -> None:
+        for k in range(0, len(units), 2000):
+            some = units[k : k + 2000]
+            ids = np.array(self._encode([" ".join(some)])[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(some):
+                starts = [0, *ends.tolist()]
+                for u, a, b in zip(some, starts, starts[1:], strict=False):
+                    self.units[u] = ids[a:b].tobytes()
+            else:
+                for u, e in zip(some, self._encode(some), strict=True):
+                    self.units[u] = np.array(e.ids, "<u4").tobytes()
+
+
+_LOADED: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """This worker's memory for a tokenizer file; it outlives the task."""
+    if path not in _LOADED:
+        _LOADED[path] = WordIds(path)
+    return _LOADED[path]
+
 
 def token_bytes(texts: list[bytes | None], ids: WordIds, chunk: int = 1_000_000) -> Iterator[bytes]:
     """The ids of each text, without the end id; texts are taken a few at a time to bound the words held."""
@@ -84,7 +134,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, k
     small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(path)
+        ids = word_ids(path)
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
             rows, piece, start, length, crc, parts = [], [], [], [], [], []
