@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stridex.llm import host_rules, packing
+from stridex.llm import host_rules, minhash, mixing, packing, substrings
 from stridex.llm.common import materialize
 
 STAGES = [
     ("quality_rules", host_rules.stage),
+    ("near_duplicates", minhash.stage),
+    ("repeated_passages", substrings.stage),
+    ("temperature_mixing", mixing.stage),
     ("best_fit_packing", packing.stage),
 ]
 #: Shingle joins, suffix groups and packing have no SQL form.
