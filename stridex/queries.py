@@ -79,7 +79,7 @@ def _loc(s: SparkSession, d: str) -> DataFrame:
 
 
 register("gather", lambda s, d: access.gather(_source(s, d), _loc(s, d)), f"SELECT a.o_orderkey AS i, b.o_custkey AS val FROM (SELECT o_orderkey, {_LOC} AS p FROM orders) a JOIN orders b ON b.o_orderkey = a.p")
-register("gather_out_of_range", lambda s, d: access.gather(_source(s, d), _loc(s, d).withColumn("pos", F.col("pos") + 100), passes=4), f"SELECT a.o_orderkey AS i, b.o_custkey AS val FROM (SELECT o_orderkey, {_LOC} + 100 AS p FROM orders) a LEFT JOIN orders b ON b.o_orderkey = a.p")
+register("gather_out_of_range", lambda s, d: access.gather(_source(s, d), _loc(s, d).withColumn("pos", F.col("pos") + 100), passes=4).select("i", F.coalesce("val", F.lit(-1)).alias("val")), f"SELECT a.o_orderkey AS i, coalesce(b.o_custkey, -1) AS val FROM (SELECT o_orderkey, {_LOC} + 100 AS p FROM orders) a LEFT JOIN orders b ON b.o_orderkey = a.p")
 register("gather_pass", lambda s, d: access.gather(_source(s, d), _loc(s, d).where(access.in_pass(F.col("pos"), 1, 4, 1000)), missing="drop"), f"SELECT a.o_orderkey AS i, b.o_custkey AS val FROM (SELECT o_orderkey, {_LOC} AS p FROM orders) a JOIN orders b ON b.o_orderkey = a.p WHERE p >= 250 AND p < 500")
 register("scatter", lambda s, d: access.scatter(_source(s, d), _loc(s, d)), f"SELECT {_LOC} AS pos, o_custkey AS val FROM orders")
 register("scatter_conflict_last", lambda s, d: access.scatter(_source(s, d), _loc(s, d).withColumn("pos", F.floor(F.col("pos") / 4))), f"SELECT p // 4 AS pos, max_by(o_custkey, o_orderkey) AS val FROM (SELECT o_orderkey, o_custkey, {_LOC} AS p FROM orders) GROUP BY 1")
@@ -172,9 +172,9 @@ register("nontrivial_runs", lambda s, d: runs.nontrivial_runs(events(s, d), "eve
 register("reduce_by_key", lambda s, d: runs.reduce_by_key(events(s, d), "event_type", "event_id", [F.sum("user_id").alias("total")], "user_id").select("user_id", "run", "total"), _RUN + "SELECT user_id, run, CAST(sum(user_id) AS BIGINT) AS total FROM r GROUP BY user_id, run")
 register("unique_runs", lambda s, d: runs.unique(events(s, d), "event_type", "event_id"), _ALL + "SELECT event_id, user_id, event_type FROM r WHERE h = 1")
 register("head_tail_flags", lambda s, d: runs.flags(events(s, d), "event_type", "event_id", "user_id").select("event_id", "head", "tail"), "SELECT event_id, event_type IS DISTINCT FROM lag(event_type) OVER w OR row_number() OVER w = 1 AS head, event_type IS DISTINCT FROM lead(event_type) OVER w OR lead(event_id) OVER w IS NULL AS tail FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
-register("adjacent_diff", lambda s, d: runs.adjacent_difference(orders(s, d), "o_custkey", "o_orderkey").select("o_orderkey", "diff"), "SELECT o_orderkey, o_custkey - lag(o_custkey) OVER (ORDER BY o_orderkey) AS diff FROM orders")
-register("shift_up", lambda s, d: runs.shift(orders(s, d), "o_custkey", "o_orderkey", 3, "moved").select("o_orderkey", "moved"), "SELECT o_orderkey, lag(o_custkey, 3) OVER (ORDER BY o_orderkey) AS moved FROM orders")
-register("shift_down", lambda s, d: runs.shift(orders(s, d), "o_custkey", "o_orderkey", -2, "moved").select("o_orderkey", "moved"), "SELECT o_orderkey, lead(o_custkey, 2) OVER (ORDER BY o_orderkey) AS moved FROM orders")
+register("adjacent_diff", lambda s, d: runs.adjacent_difference(orders(s, d), "o_custkey", "o_orderkey").select("o_orderkey", F.coalesce("diff", F.lit(0)).alias("diff")), "SELECT o_orderkey, coalesce(o_custkey - lag(o_custkey) OVER (ORDER BY o_orderkey), 0) AS diff FROM orders")
+register("shift_up", lambda s, d: runs.shift(orders(s, d), "o_custkey", "o_orderkey", 3, "moved").select("o_orderkey", F.coalesce("moved", F.lit(-1)).alias("moved")), "SELECT o_orderkey, coalesce(lag(o_custkey, 3) OVER (ORDER BY o_orderkey), -1) AS moved FROM orders")
+register("shift_down", lambda s, d: runs.shift(orders(s, d), "o_custkey", "o_orderkey", -2, "moved").select("o_orderkey", F.coalesce("moved", F.lit(-1)).alias("moved")), "SELECT o_orderkey, coalesce(lead(o_custkey, 2) OVER (ORDER BY o_orderkey), -1) AS moved FROM orders")
 register("rotate", lambda s, d: runs.shift(orders(s, d), "o_custkey", "o_orderkey", 5, "moved", rotate=True).select("o_orderkey", "moved"), "SELECT (o_orderkey + 5) % (SELECT count(*) FROM orders) AS o_orderkey, o_custkey AS moved FROM orders")
 _HEADS = "SELECT event_id, CAST(sum(user_id) OVER (PARTITION BY g) AS BIGINT) AS total FROM (SELECT *, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND {}) AS g FROM events)"
 _flagged = lambda s, d: events(s, d).withColumn("f", F.col("event_type") == "purchase")
