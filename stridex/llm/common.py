@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Entries that a worker's word cache holds before it starts anew (about 90 MB).
 CACHE_ENTRIES = 500_000
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,7 +38,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stridex-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # The shuffle files of this write go with it, rather than when the driver next collects garbage.
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -58,8 +66,9 @@ def release_shuffles(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows in one Arrow batch: texts can be long, and a worker holds a batch at a time."""
+    """Bound the rows and bytes in one Arrow batch: texts can be long, and a worker holds a batch at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 def fold(column: str, parts: int) -> Column:
@@ -106,5 +115,23 @@ def grams(hashes: np.ndarray, size: int) -> np.ndarray:
     return mixed(out)
 
 
+def groups_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Consecutive rows of one key, from batches sorted by it; many groups at a time, none cut."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if rest is not None:
+            table = pa.concat_tables([rest, table])
+        if not table.num_rows:
+            continue
+        keys = table[key].to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if cut:
+            yield table.slice(0, cut)
+        rest = table.slice(cut)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
 def reads(table: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stridex.llm.common import discard, materialize, partitions, release_shuffles, small_batches
+from stridex.llm.common import discard, groups_of, materialize, partitions, release_shuffles, small_batches
 
 K = 40
 REVERSE = 20
@@ -69,24 +69,6 @@ def units(column) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def groups_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Consecutive rows of one key, from batches sorted by it; many groups at a time, none cut."""
-    rest = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        if rest is not None:
-            table = pa.concat_tables([rest, table])
-        if not table.num_rows:
-            continue
-        keys = table[key].to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1]))
-        if cut:
-            yield table.slice(0, cut)
-        rest = table.slice(cut)
-    if rest is not None and rest.num_rows:
-        yield rest
-
-
 def bounds(keys: np.ndarray) -> np.ndarray:
     return np.r_[np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]), len(keys)]
 
