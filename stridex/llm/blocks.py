@@ -4,7 +4,7 @@ Documents are dealt into blocks of a bounded mean size by a hash of their id.  A
 its distinct keys once, with its own count, to the shard that owns the key; shards are ranges of the
 64-bit key space, so they are even whatever the keys.  A shard adds up and answers every block with
 totals in the order the keys came in, so answers carry no keys.  A key that all documents hold costs
-one entry a block, and nothing is collected to the driver.
+one entry a block, a shard holds as much however large the corpus, and nothing is collected to the driver.
 """
 
 from __future__ import annotations
@@ -16,8 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stridex.llm.common import groups_of
+
 #: Mean bytes of text in a block: bounds what a task holds.
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 10_000_000
+SHARDS_A_BLOCK = 2
 #: Name of the column that deals documents; no table of documents has it.
 BLOCK = "__block"
 SENT = "block int, kind int, shard int, keys binary, counts binary"
@@ -29,6 +32,11 @@ def block_count(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     return max(1, -(-size // block_bytes))
 
 
+def shard_count(blocks: int) -> int:
+    """Shards in proportion to the blocks, so that what a shard holds stays as large however much text there is."""
+    return SHARDS_A_BLOCK * blocks
+
+
 def with_block(docs: DataFrame, blocks: int) -> DataFrame:
     return docs.withColumn(BLOCK, F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
 
@@ -36,10 +44,22 @@ def with_block(docs: DataFrame, blocks: int) -> DataFrame:
 def sent(block: int, kind: int, keys: np.ndarray, counts: np.ndarray, shards: int) -> pa.Table:
     """A block's sorted distinct keys and counts as one row for each shard."""
     owner = shard_of(keys, shards)
-    cuts = np.searchsorted(owner, np.arange(shards + 1))
-    rows = [s for s in range(shards) if cuts[s] < cuts[s + 1]]
-    part = lambda x: pa.array([x[cuts[s] : cuts[s + 1]].tobytes() for s in rows], pa.binary())
-    return pa.table({"block": pa.array([block] * len(rows), pa.int32()), "kind": pa.array([kind] * len(rows), pa.int32()), "shard": pa.array(rows, pa.int32()), "keys": part(keys), "counts": part(counts.astype(np.uint32))})
+    cuts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1], True]) if len(keys) else np.zeros(1, np.int64)
+    rows = owner[cuts[:-1]].tolist()
+    part = lambda x, form: pa.array([form(x[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())
+    return pa.table({"block": pa.array([block] * len(rows), pa.int32()), "kind": pa.array([kind] * len(rows), pa.int32()), "shard": pa.array(rows, pa.int32()), "keys": part(keys, squeezed), "counts": part(counts.astype(np.uint32), np.ndarray.tobytes)})
+
+
+def squeezed(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences, the bytes of one place side by side: most high bytes are zero and compress."""
+    steps = keys.copy()
+    steps[1:] -= keys[:-1]
+    return steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def restored(data: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    return np.cumsum(steps, dtype=np.uint64)
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -47,32 +67,34 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
 
 
-def totals(rows: DataFrame, shards: int) -> DataFrame:
+def totals(rows: DataFrame) -> DataFrame:
     """Answers to what the blocks sent.  n_keys and n_total (keys with a total above 0, and their sum) stand once for each kind and task."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not (got := list(batches)):
-            return
-        table = pa.Table.from_batches(got)
-        kinds = table["kind"].to_numpy()
-        for kind in np.unique(kinds):
-            some = table.take(pa.array(np.flatnonzero(kinds == kind)))
-            lengths = [len(x) // 8 for x in some["keys"].to_pylist()]
-            keys = np.frombuffer(b"".join(some["keys"].to_pylist()), np.uint64)
-            counts = np.frombuffer(b"".join(some["counts"].to_pylist()), np.uint32)
-            order = np.argsort(keys, kind="stable")
-            heads = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]])
-            sums = np.add.reduceat(counts[order], heads, dtype=np.uint64)
-            answer = np.empty(len(keys), np.uint64)
-            answer[order] = np.repeat(sums, np.diff(np.r_[heads, len(keys)]))
-            ends = np.cumsum(lengths)
-            first = np.zeros(len(lengths), np.int64)
-            first[0] = 1
-            parts = [answer[e - n : e].tobytes() for e, n in zip(ends, lengths, strict=True)]
-            out = {"block": some["block"], "kind": some["kind"], "shard": some["shard"], "totals": pa.array(parts, pa.binary()), "n_keys": pa.array(first * int((sums > 0).sum())), "n_total": pa.array(first * int(sums.sum()))}
-            yield from pa.table(out).combine_chunks().to_batches(max_chunksize=64)
-
-    return rows.repartition(shards, "shard").mapInArrow(add, ANSWER)
+        for table in groups_of(batches, "shard"):
+            kinds = table["kind"].to_numpy()
+            for kind in np.unique(kinds):
+                yield from answer(table.take(pa.array(np.flatnonzero(kinds == kind)))).to_batches()
+
+    def answer(some: pa.Table) -> pa.Table:
+        parts = [restored(x) for x in some["keys"].to_pylist()]
+        lengths = np.array([len(x) for x in parts])
+        keys = np.concatenate(parts)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        del parts, keys
+        sums = np.add.reduceat(np.frombuffer(b"".join(some["counts"].to_pylist()), np.uint32)[order], heads, dtype=np.uint64)
+        found = np.empty(len(order), np.uint64)
+        found[order] = np.repeat(sums, np.diff(np.r_[heads, len(order)]))
+        ends = np.cumsum(lengths)
+        first = np.zeros(len(lengths), np.int64)
+        first[0] = 1
+        binary = pa.array([found[e - n : e].tobytes() for e, n in zip(ends, lengths, strict=True)], pa.binary())
+        return pa.table({"block": some["block"], "kind": some["kind"], "shard": some["shard"], "totals": binary, "n_keys": pa.array(first * int((sums > 0).sum())), "n_total": pa.array(first * int(sums.sum()))})
+
+    # A task goes through its shards one after another, so it holds one at a time.
+    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(add, ANSWER)
 
 
 def answered(table: pa.Table, kind: int) -> np.ndarray:

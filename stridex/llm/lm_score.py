@@ -23,8 +23,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridex.llm.blocks import BLOCK, SENT, answered, block_count, sent, totals, with_block
-from stridex.llm.common import MIX, WordHash, fold, held_out, materialize, mixed, partitions, release_shuffles
+from stridex.llm.blocks import BLOCK, SENT, answered, block_count, sent, shard_count, totals, with_block
+from stridex.llm.common import MIX, WordHash, fold, held_out, materialize, mixed, release_shuffles
 
 FOLDS, HELD = 7, 2
 #: Pseudo-count of the unigram distribution in every history.
@@ -52,9 +52,10 @@ def streams(texts: list[bytes | None], hashes: WordHash) -> tuple[np.ndarray, np
 def score_documents(docs: DataFrame, mu: float = MU) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    shards, id_type = partitions(spark), docs.schema["doc_id"].dataType.simpleString()
+    id_type = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text", F.coalesce(fold("doc_id", FOLDS) != HELD, F.lit(False)).alias("train"), held_out("doc_id", FOLDS, HELD).alias("held_out"))
-    dealt = with_block(docs, block_count(docs))
+    blocks = block_count(docs)
+    dealt, shards = with_block(docs, blocks), shard_count(blocks)
 
     def send(table: pa.Table) -> pa.Table:
         tokens, pairs, sizes = streams(table["text"].cast(pa.binary()).to_pylist(), WordHash())
@@ -67,7 +68,7 @@ def score_documents(docs: DataFrame, mu: float = MU) -> DataFrame:
             out.append(sent(block, kind, keys[heads], np.add.reduceat(weight, heads), shards))
         return pa.concat_tables(out)
 
-    answers = materialize(totals(dealt.groupBy(BLOCK).applyInArrow(send, SENT), shards), "counts")
+    answers = materialize(totals(dealt.groupBy(BLOCK).applyInArrow(send, SENT)), "counts")
     release_shuffles(spark)
     seen = answers.where(F.col("kind") == UNIGRAM).agg(F.sum("n_keys").alias("v"), F.sum("n_total").alias("n")).first()
     types, n = int(seen["v"] or 0), int(seen["n"] or 0)

@@ -33,7 +33,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridex.llm.blocks import BLOCK, SENT, answered, block_count, sent, totals, with_block
+from stridex.llm.blocks import BLOCK, SENT, answered, block_count, sent, shard_count, totals, with_block
 from stridex.llm.common import MIX, WordHash, grams, materialize, mixed, partitions, release_shuffles
 
 WINDOW = 20
@@ -100,12 +100,12 @@ def repeats(group, doc, row, at, low, high, before, after) -> np.ndarray:
     return marks
 
 
-def mark_windows(dealt: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
+def mark_windows(dealt: DataFrame, blocks: int, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
     """block, row (of ``documents_of``), at (anchor position), marks: windows that occur earlier.  dealt: doc_id, text, block."""
     spark, span = dealt.sparkSession, window - prefix
     if not 0 <= span <= 62:
         raise ValueError("the window may exceed the prefix by 62 words at most")
-    shards = partitions(spark)
+    shards = shard_count(blocks)
 
     def send(table: pa.Table) -> pa.Table:
         hashes, parts = WordHash(), [np.empty(0, np.uint64)]
@@ -114,7 +114,7 @@ def mark_windows(dealt: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -
         keys, counts = np.unique(np.concatenate(parts), return_counts=True)
         return sent(table[BLOCK][0].as_py(), 0, keys, counts, shards)
 
-    answers = materialize(totals(dealt.groupBy(BLOCK).applyInArrow(send, SENT), shards), "anchors")
+    answers = materialize(totals(dealt.groupBy(BLOCK).applyInArrow(send, SENT)), "anchors")
     release_shuffles(spark)
 
     def surround(table: pa.Table, got: pa.Table) -> pa.Table:
@@ -185,7 +185,7 @@ def mark_windows(dealt: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -
                 yield _marked(some, ((np.int64(1) << (high - low + 1)) - 1) << low)
             held.append(batch.filter(pa.array(~known)))
         if held and (table := pa.Table.from_batches(held)).num_rows:
-            words = np.frombuffer(b"".join(table["words"].to_pylist()), np.uint32).reshape(-1, 2 * span)
+            words = np.frombuffer(b"".join(table["words"].to_pylist()), np.uint32).reshape(table.num_rows, 2 * span)
             column = lambda c: table[c].to_numpy().astype(np.int64)
             group = np.unique(column("anchor"), return_inverse=True)[1]
             marks = repeats(group, column("doc"), column("row"), column("at"), column("low"), column("high"), words[:, :span], words[:, span:])
@@ -197,7 +197,7 @@ def mark_windows(dealt: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -
         return pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("block", "row", "at")} | {"marks": pa.array(marks)})
 
     rows = dealt.groupBy(BLOCK).cogroup(answers.groupBy("block")).applyInArrow(surround, SUFFIX)
-    return rows.repartition(shards, "part").mapInArrow(subtree, "block int, row int, at int, marks long")
+    return rows.repartition(partitions(spark), "part").mapInArrow(subtree, "block int, row int, at int, marks long")
 
 
 def covered(n: int, at: np.ndarray, marks: np.ndarray, window: int) -> np.ndarray:
@@ -212,8 +212,9 @@ def covered(n: int, at: np.ndarray, marks: np.ndarray, window: int) -> np.ndarra
 
 def _per_document(docs: DataFrame, window: int, prefix: int, body, schema: str) -> DataFrame:
     """Runs body(text, words, gone) for each row; its result and the row's number in the block's table go to ``schema``'s columns."""
-    dealt = with_block(docs, block_count(docs))
-    marked = materialize(mark_windows(dealt.select("doc_id", "text", BLOCK), window, prefix), "marks")
+    blocks = block_count(docs)
+    dealt = with_block(docs, blocks)
+    marked = materialize(mark_windows(dealt.select("doc_id", "text", BLOCK), blocks, window, prefix), "marks")
     release_shuffles(docs.sparkSession)
 
     def finish(table: pa.Table, marks: pa.Table) -> pa.Table:
