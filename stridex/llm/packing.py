@@ -29,7 +29,7 @@ CAPACITY = 2048
 END_ID = 0
 #: Mean number of pieces packed together; a worker holds some 50 bytes for each.
 GROUP_PIECES = 50_000
-CACHE_WORDS = 600_000
+CACHE_UNITS = 500_000
 #: Pieces of at least capacity / divisor count as long; 0 sorts all by length.
 LONG_DIVISORS = (4, 8, 16, 0)
 
@@ -40,20 +40,33 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: Words of these characters are cut into the tokenizer's own units here; any other word goes to it whole.
-_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-#: Fixed: the tokenizer's splitting pattern, for lower-cased words of those characters.
-_UNIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+#: Texts without any of these characters are cut into the tokenizer's units here; other words go to it whole.
+_OTHER = re.compile("[^\\t-\\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]")
+#: Fixed: the tokenizer's splitting pattern, for lower-cased text of those characters.
+_UNIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\t-\\r a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 _WORD_END = "</w>"
+#: May begin a special token, which the tokenizer finds before it cuts.
+_SPECIAL = "<|"
 
 
-class WordIds(dict):
-    """Ids of a word as little-endian 32-bit bytes.
+def units_of(text: str) -> list[str]:
+    """What the tokenizer cuts a text into, lower-cased; a word that can't be cut here stands whole, as it is."""
+    if not _OTHER.search(text) and _SPECIAL not in text:
+        return _UNIT.findall(text.lower())
+    out = []
+    for word in text.encode().split():
+        w = word.decode()
+        out += [w] if _SPECIAL in w or _OTHER.search(w) else _UNIT.findall(w.lower())
+    return out
 
-    The tokenizer drops white space and never joins across it, so a text's ids are the ids of its
-    words in turn, and most words are met again and again.  New words are cut into units, and all
-    new units are tokenized in one call: each unit ends in its only token with the word-end mark.
-    When full, the memory starts anew.
+
+class UnitIds(dict):
+    """Ids of a unit as little-endian 32-bit bytes.
+
+    The tokenizer drops white space and never joins across units, so a text's ids are those of its
+    units in turn, and most units are met again and again.  All new units of a chunk are tokenized
+    in one call: each ends in its only token with the word-end mark.  When full, the memory keeps
+    the units that came in more than one chunk.
     """
 
     def __init__(self, path: str):
@@ -67,63 +80,54 @@ class WordIds(dict):
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for w, k in vocabulary.items() if w.endswith(_WORD_END)]] = True
-        self.units: dict[str, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        new = words.difference(self)
-        if len(self) + len(new) > CACHE_WORDS:
-            self.clear(), self.units.clear()
-            new = words
-        cut, whole = {}, []
-        for w in new:
-            s = w.decode()
-            if _PLAIN.fullmatch(s) and "<|" not in s:  # that may begin a special token
-                cut[w] = _UNIT.findall(s.lower())
+        self.again: set[str] = set()
+
+    def learn(self, units: set[str]) -> None:
+        new = units.difference(self)
+        self.again |= units.difference(new)
+        if len(self) + len(new) > CACHE_UNITS:
+            kept = {u: self[u] for u in self.again} if len(self.again) < CACHE_UNITS // 2 else {}
+            self.clear(), self.again.clear()
+            self.update(kept)
+            new = units.difference(self)
+        whole = [u for u in new if _SPECIAL in u or _OTHER.search(u)]
+        rest = list(new.difference(whole))
+        for k in range(0, len(rest), 2000):
+            some = rest[k : k + 2000]
+            ids = np.array(self._encode([" ".join(some)])[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(ends) == len(some):
+                data = ids.tobytes()
+                self.update([(u, data[i:j]) for u, i, j in zip(some, [0, *ends], ends, strict=False)])
             else:
-                whole.append(w)
-        self._learn_units(list({u for units in cut.values() for u in units}.difference(self.units)))
-        for w, units in cut.items():
-            self[w] = self.units[units[0]] if len(units) == 1 else b"".join([self.units[u] for u in units])
-        for w, e in zip(whole, self._encode([w.decode() for w in whole]), strict=True):
-            self[w] = np.array(e.ids, "<u4").tobytes()
+                whole += some
+        for u, e in zip(whole, self._encode(whole), strict=True):
+            self[u] = np.array(e.ids, "<u4").tobytes()
 
     def _encode(self, texts: list[str]):
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
-    def _learn_units(self, units: list[str]) -> None:
-        for k in range(0, len(units), 2000):
-            some = units[k : k + 2000]
-            ids = np.array(self._encode([" ".join(some)])[0].ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(some):
-                starts = [0, *ends.tolist()]
-                for u, a, b in zip(some, starts, starts[1:], strict=False):
-                    self.units[u] = ids[a:b].tobytes()
-            else:
-                for u, e in zip(some, self._encode(some), strict=True):
-                    self.units[u] = np.array(e.ids, "<u4").tobytes()
-
 
-_LOADED: dict[str, WordIds] = {}
+_LOADED: dict[str, UnitIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
+def unit_ids(path: str) -> UnitIds:
     """This worker's memory for a tokenizer file; it outlives the task."""
     if path not in _LOADED:
-        _LOADED[path] = WordIds(path)
+        _LOADED[path] = UnitIds(path)
     return _LOADED[path]
 
 
-def token_bytes(texts: list[bytes | None], ids: WordIds, chunk: int = 1_000_000) -> Iterator[bytes]:
-    """The ids of each text, without the end id; texts are taken a few at a time to bound the words held."""
+def token_bytes(texts: list[bytes | None], ids: UnitIds, chunk: int = 1_000_000) -> Iterator[bytes]:
+    """The ids of each text, without the end id; texts are taken a few at a time to bound the units held."""
     held, size = [], 0
     for k, text in enumerate(texts):
-        held.append((text or b"").split())
+        held.append(units_of((text or b"").decode()))
         size += len(text or b"")
         if size >= chunk or k == len(texts) - 1:
-            ids.learn({w for words in held for w in words})
-            for words in held:
-                yield b"".join(map(ids.__getitem__, words))
+            ids.learn(set().union(*held))
+            for units in held:
+                yield b"".join(map(ids.__getitem__, units))
             held, size = [], 0
 
 
@@ -134,7 +138,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, k
     small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = word_ids(path)
+        ids = unit_ids(path)
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
             rows, piece, start, length, crc, parts = [], [], [], [], [], []
@@ -158,16 +162,16 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, k
 def place(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each length, in the order given, by the sum-of-squares rule; ties go to the smallest gap."""
     count = np.zeros(capacity + 1, np.int64)
-    # What a gap adds to the sum if a bin leaves it; an empty gap can't be chosen.
+    # Half of what the sum loses, but for a constant, if a bin leaves a gap; an empty gap can't be chosen.
     leave = np.full(capacity + 1, np.iinfo(np.int64).max // 4, np.int64)
     stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
     bins, offsets, n = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), 0
     for k, size in enumerate(lengths.tolist()):
-        # Change of the sum / 2, offset by a constant: -count[gap] + count[gap - size]; a gap that closes doesn't count.
-        change = leave[size:] + count[: capacity + 1 - size]
+        # Change of the sum, less 2: twice (count[gap - size] - count[gap]); a gap that closes counts no more, which is 1 less.
+        change = 2 * (leave[size:] + count[: capacity + 1 - size])
         change[0] -= 1
         gap = int(change.argmin()) + size
-        if gap < capacity and change[gap - size] + 1 <= count[capacity - size]:
+        if gap < capacity and change[gap - size] <= 2 * count[capacity - size] - 1:
             b = stacks[gap].pop()
             count[gap] -= 1
             leave[gap] = -count[gap] if count[gap] else np.iinfo(np.int64).max // 4
