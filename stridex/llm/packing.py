@@ -5,7 +5,7 @@ capacity is cut into full pieces and a rest.  Pieces are dealt into groups of a
 each group is packed by itself: a piece goes where the sum over residual gaps of (open bins with
 that gap) squared becomes smallest, a new bin being one of the choices.  A group is packed in a few
 orders (long pieces first by length, short ones after them in hash order, for several bounds between
-long and short) and the order that needs the fewest bins stands.
+long and short) until one needs no more bins than the sum of lengths does; else the best stands.
 
 Every bin of a group but a handful ends nearly full, so the loss against packing all pieces
 together is a few bins in ``GROUP_PIECES``.  Defined cases: a null text is empty and holds the end
@@ -31,7 +31,7 @@ END_ID = 0
 GROUP_PIECES = 50_000
 CACHE_UNITS = 500_000
 #: Pieces of at least capacity / divisor count as long; 0 sorts all by length.
-LONG_DIVISORS = (4, 8, 16, 0)
+LONG_DIVISORS = (8, 16, 4, 6, 12, 32, 3, 0)
 
 
 def tokenizer_path() -> str:
@@ -188,13 +188,15 @@ def place(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np
 
 def best_place(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
     """``place`` in the order, of those tried, that needs the fewest bins; results are by the given positions."""
-    best = None
+    best, least = None, -(-int(lengths.sum()) // capacity)
     for divisor in LONG_DIVISORS:
         long = lengths >= (capacity // divisor if divisor else 0)
         order = np.argsort(np.where(long, -lengths, 0), kind="stable")
         bins, offsets = place(lengths[order], capacity)
         if best is None or bins.max() < best[1].max():
             best = order, bins, offsets
+        if best[1].max() + 1 == least:
+            break
     order, bins, offsets = best
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))
