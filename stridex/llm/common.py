@@ -6,7 +6,6 @@ separates on exactly those six, so texts are handled as UTF-8 bytes throughout.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,21 +15,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stridex.plans.tables import shared_dir
+
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Entries that a worker's word cache holds before it starts anew (about 90 MB).
 CACHE_ENTRIES = 500_000
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="stridex-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back, which cuts its lineage.
 

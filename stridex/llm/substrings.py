@@ -286,7 +286,7 @@ STAGE_WINDOW = 50
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated passages; one that loses every word goes.  ``n_chars`` follows the text."""
-    before = docs.withColumn("__had", F.length(F.trim(F.coalesce("text", F.lit("")))) > 0)
-    cut = remove(before, STAGE_WINDOW)
-    left = cut.where(~F.col("__had") | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("__had")
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    cut = remove(docs.withColumn("__had", has_words), STAGE_WINDOW)
+    left = cut.where(~F.col("__had") | has_words).drop("__had")
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
