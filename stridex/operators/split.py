@@ -32,7 +32,8 @@ def bucket_starts(df: DataFrame, key: str, buckets: int) -> DataFrame:
 
 def place(df: DataFrame, bucket: str, order: str, out: str = "pos", tile: int = TILE) -> DataFrame:
     """``df`` with the output position of each row; ``order`` is unique and dense."""
-    tiled = df.withColumn("__tile", F.floor(F.col(order) / tile))
+    # The filter is said once for all branches, so that they share one count exchange; rows without bucket or position have no place.
+    tiled = df.withColumn("__tile", F.floor(F.col(order) / tile)).where(F.col(bucket).isNotNull() & F.col("__tile").isNotNull())
     counts = tiled.groupBy(bucket, "__tile").agg(F.count(F.lit(1)).alias("n"))
     sizes = counts.groupBy(bucket).agg(F.sum("n").alias("size"))
     starts = sizes.select(F.col(bucket).alias("__b"), F.coalesce(F.sum("size").over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
