@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridex.llm.common import groups_of
+from stridex.llm.common import groups_of, ship
 
 #: Mean bytes of text in a block: bounds what a task holds.
 BLOCK_BYTES = 10_000_000
@@ -28,6 +28,7 @@ ANSWER = "block int, kind int, shard int, totals binary, n_keys long, n_total lo
 
 
 def block_count(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
+    ship(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     return max(1, -(-size // block_bytes))
 

@@ -207,6 +207,7 @@ def pack(table: DataFrame, capacity: int = CAPACITY, group: int = GROUP_PIECES)
     """Adds sequence_id and offset to a table of pieces that is cheap to read twice."""
     from pyspark.sql.types import LongType, StructField, StructType
 
+    small_batches(table.sparkSession)
     groups = max(1, round(table.count() / group))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -280,6 +280,26 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+ORACLE = r"""
+WITH docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(ws[i:i+19], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM docs WHERE len(ws) >= 20)
+), later AS (
+  SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1
+), gone AS (
+  SELECT doc_id, count(DISTINCT k) AS n, list(DISTINCT k) AS ks FROM (SELECT doc_id, unnest(range(i, i + 20)) AS k FROM later) GROUP BY doc_id
+), words AS (
+  SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS k FROM docs
+), cut AS (
+  SELECT DISTINCT doc_id, k FROM (SELECT doc_id, unnest(ks) AS k FROM gone)
+), kept AS (
+  SELECT doc_id, string_agg(w, ' ' ORDER BY k) AS t FROM words ANTI JOIN cut USING (doc_id, k) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM docs LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 #: The pipeline cuts passages of this many words; shorter ones recur in honest text.
 STAGE_WINDOW = 50
 

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stridex.llm.common import small_batches
+
 STRICT = ["casino", "cheap-pills", "escorts", "free-bets", "porn", "spam-farm", "viagra", "warez", "xxx"]
 SOFT = ["ads", "adult", "bet", "bets", "bonus", "cheap", "click", "dating", "deals", "farm", "free", "loans", "pills", "poker", "promo", "spam", "track", "tracker", "win"]
 SOFT_LIMIT = 2
@@ -80,6 +82,7 @@ def judge_urls(pages: DataFrame, strict=STRICT, soft=SOFT, rules=RULES, limit: i
             kinds = [pa.string()] * 4 + [pa.int64()] * 2
             yield pa.RecordBatch.from_pydict({"page_id": batch.column("page_id")} | {k: pa.array(v, t) for (k, v), t in zip(rows.items(), kinds, strict=True)})
 
+    small_batches(pages.sparkSession)
     id_type = pages.schema["page_id"].dataType.simpleString()
     return pages.select("page_id", F.col("url").cast("string").alias("url")).mapInArrow(judge, f"page_id {id_type}, host string, path string, rule string, verdict string, n_strict long, n_soft long")
 
