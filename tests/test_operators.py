@@ -223,3 +223,25 @@ def test_column_pruning(spark, tmp_path):
     spark.range(10).selectExpr("id AS pos", "id AS val", "id AS other").write.parquet(str(tmp_path / "t"))
     df = scan.exclusive_sum(spark.read.parquet(str(tmp_path / "t")).select("pos", "val"), "val", "pos")
     assert inspect.read_columns(df) == ["pos", "val"]
+
+
+def test_inspection_and_sinks(spark, tmp_path):
+    from stridex.sources import tables
+
+    df = spark.range(10).selectExpr("id + 1 AS x")
+    assert "WholeStageCodegen" in inspect.generated_code(df) and inspect.operators(df) == ["Project", "Range"]
+    tables.save(df, str(tmp_path / "t.parquet"))
+    assert sorted(r.x for r in tables.download(tables.table(spark, str(tmp_path), "t"))) == list(range(1, 11))
+    tables.discard(df)
+    assert tables.upload(spark, [(1, 2)], "a int, b int").first() == (1, 2)
+
+
+def test_variants_agree_on_random_input(spark):
+    df = generate.uniform(spark, 500, 64, seed=9)
+    keys = [r.val for r in df.orderBy("pos").collect()]
+    runs_of = [(k, i) for i, k in enumerate(keys)]
+    for tile in (7, 64, 1000):
+        placed = split.place(df.withColumn("bucket", scalar.bucket(F.col("val"), 16)), "bucket", "pos", out="to", tile=tile)
+        assert [r.pos for r in placed.orderBy("to").collect()] == [i for _, i in sorted((k & 15, i) for k, i in runs_of)]
+        assert column(scan.exclusive_sum(df, "val", "pos", tile=tile), "scan") == [sum(keys[:i]) for i in range(500)]
+    assert [r.val for r in sort.sort(df, "val", "pos").orderBy("rank").collect()] == sorted(keys)
