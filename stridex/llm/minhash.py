@@ -6,10 +6,11 @@ with one set form a class, and its smallest doc_id goes on alone, so exact copie
 (2) Classes that share a band bucket are candidates.  Rather than all pairs of a bucket, each member
 is paired with the bucket's smallest id; a count of equal low bits, corrected for chance collisions,
 drops pairs five deviations below the threshold; the rest are confirmed on their full sets.
-(3) Components follow.  Only members of one bucket that are still in different components are paired
-further, best estimates first and four times as many partners a round, until each such pair is
-confirmed, refuted or joined.  So every link between bucket mates counts, and within a component
-nothing more is compared.
+(3) Components follow.  Only members of one bucket that are still in different components are compared
+further: they get a finer sketch, whose bits are counted pair by pair inside tasks, in blocks of a
+bounded number of members.  Of the pairs that pass, each member's closest is confirmed, again and
+again while most of them prove linked, and then all that are still apart.  So every link between bucket mates
+counts, nothing is compared within a component, and pairs that are not close become no rows.
 
 A link of similarity exactly 0.8 shares no band with odds of 3e-6, of 0.85 with 2e-9.
 Shingles are told apart by 64-bit hashes.  Defined cases: a null or wordless text has an empty set
@@ -28,20 +29,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridex.llm.common import MIX, WordHash, discard, grams, materialize, mixed, release_shuffles, small_batches
+from stridex.llm.common import MIX, WordHash, discard, grams, groups_of, materialize, mixed, release_shuffles, small_batches
 from stridex.llm.graphs import components
 
 ROWS, BANDS, BITS = 6, 42, 2
 HASHES = ROWS * BANDS
-PACKED = -(-HASHES // 32)  # 64-bit words of two-bit values
 THRESHOLD = 80  # per cent
 #: Estimates this far below the threshold are dropped: five standard deviations at 0.8.
 SLACK = 0.15
+#: The finer sketch of the few that need it, and four and a half standard deviations of its estimate.
+FINE, FINE_SLACK = 2048, 0.047
+#: Members of a bucket that one task compares with as many others.
+BLOCK = 2000
 #: Members of one centre that a task confirms in a row; more are spread with a copy of the centre's set.
 RUN = 500
 _rng = np.random.default_rng(20240229)
-_XOR = _rng.integers(0, 1 << 32, (HASHES, 1), dtype=np.uint32)
-_MUL = _rng.integers(0, 1 << 32, (HASHES, 1), dtype=np.uint32) | np.uint32(1)
+_XOR = _rng.integers(0, 1 << 32, (FINE, 1), dtype=np.uint32)
+_MUL = _rng.integers(0, 1 << 32, (FINE, 1), dtype=np.uint32) | np.uint32(1)
 
 
 def shingle_set(text: bytes | None, size: int, hashes: WordHash) -> np.ndarray:
@@ -52,11 +56,12 @@ def shingle_set(text: bytes | None, size: int, hashes: WordHash) -> np.ndarray:
     return np.unique(grams(h, min(size, len(h))))
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
+def minima(shingles: np.ndarray, hashes: int = HASHES) -> np.ndarray:
     low = mixed(shingles).astype(np.uint32)
-    out = np.full(HASHES, np.iinfo(np.uint32).max, np.uint32)
-    for k in range(0, len(low), 512):
-        np.minimum(out, (((low[k : k + 512] ^ _XOR) * _MUL)).min(1), out)
+    out = np.full(hashes, np.iinfo(np.uint32).max, np.uint32)
+    step = 512 * HASHES // hashes
+    for k in range(0, len(low), step):
+        np.minimum(out, (((low[k : k + step] ^ _XOR[:hashes]) * _MUL[:hashes])).min(1), out)
     return out
 
 
@@ -68,9 +73,9 @@ def bands(m: np.ndarray) -> np.ndarray:
 
 
 def packed(m: np.ndarray) -> np.ndarray:
-    low = np.zeros(PACKED * 32, np.uint64)
-    low[:HASHES] = m & np.uint32((1 << BITS) - 1)
-    return (low.reshape(PACKED, 32) << (BITS * np.arange(32, dtype=np.uint64))).sum(1, dtype=np.uint64)
+    low = np.zeros(-(-len(m) // 32) * 32, np.uint64)
+    low[: len(m)] = m & np.uint32((1 << BITS) - 1)
+    return (low.reshape(-1, 32) << (BITS * np.arange(32, dtype=np.uint64))).sum(1, dtype=np.uint64)
 
 
 def sketch(docs: DataFrame, size: int) -> DataFrame:
@@ -103,8 +108,8 @@ def estimate(x: Column, y: Column) -> Column:
     return (equal - chance) / (1 - chance)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """a, b, linked for each pair a < b, decided on full sets.  A centre's set travels once for a run of its members."""
+def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """id, s: the full sets of the documents in ``ids``, written down."""
     small_batches(docs.sparkSession)
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,6 +118,14 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
             sets = [shingle_set(t, size, hashes).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_pydict({"id": batch.column("doc_id"), "s": pa.array(sets, pa.binary())})
 
+    # A shuffled join at any size, as the ids grow with the documents.
+    wanted = docs.select(F.col("doc_id").cast("long"), "text").join(ids.distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+    return materialize(wanted.mapInArrow(to_sets, "id long, s binary"), "sets")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, linked for each pair a < b, decided on full sets.  A centre's set travels once for a run of its members."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, held = None, None
         for batch in batches:
@@ -128,19 +141,64 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["a", "b", "linked"])
 
-    pairs = materialize(pairs.select("a", "b"), "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    wanted = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
-    sets = materialize(wanted.mapInArrow(to_sets, "id long, s binary"), "sets")
     runs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / RUN).cast("int").alias("runs"))
     lead = runs.join(sets, runs.a == sets.id).select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), "s")
     dealt = pairs.join(runs, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("runs").cast("long")).cast("int").alias("run"))
     follow = dealt.join(sets, dealt.b == sets.id).select("a", "b", "run", "s")
     met = lead.unionByName(follow).repartition("a", "run").sortWithinPartitions("a", "run", F.col("b").asc_nulls_first())
-    out = materialize(met.mapInArrow(compare, "a long, b long, linked boolean").distinct(), "confirmed")
-    discard(sets), discard(pairs)
-    release_shuffles(docs.sparkSession)
-    return out
+    return materialize(met.mapInArrow(compare, "a long, b long, linked boolean").distinct(), "confirmed")
+
+
+def finer(sets: DataFrame) -> DataFrame:
+    """rep, bits: the packed finer sketch of each set."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [packed(minima(np.frombuffer(s, np.uint64), FINE)).tobytes() for s in batch.column("s").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(bits, pa.binary())], names=["rep", "bits"])
+
+    return materialize(sets.mapInArrow(compute, "rep long, bits binary").dropDuplicates(["rep"]), "fine")
+
+
+def close_pairs(members: DataFrame, fine: DataFrame) -> DataFrame:
+    """a, b, e for members (key, rep, comp) of one bucket and different components whose finer estimate comes near the threshold.
+
+    fine: rep, bits, bands.  A pair is compared in the first band that it shares and in no other.
+    """
+    least = THRESHOLD / 100 - FINE_SLACK
+    odd = np.uint64(0x5555555555555555)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups_of(batches, "g"):
+            g = table["g"].to_numpy()
+            cuts = np.r_[np.flatnonzero(np.r_[True, g[1:] != g[:-1]]), len(g)]
+            for at, end in zip(cuts, cuts[1:], strict=False):
+                some = table.slice(at, end - at)
+                key, rep, comp, part = (some[c].to_numpy() for c in ("key", "rep", "comp", "part"))
+                keys = np.array(some["bands"].to_pylist())
+                band = (keys == key[:, None]).argmax(1)
+                across = len(np.unique(part)) > 1
+                bits = np.frombuffer(b"".join(some["bits"].to_pylist()), np.uint64).reshape(len(rep), -1)
+                out = []
+                for k in range(len(rep) - 1):
+                    rest = np.flatnonzero((comp[k + 1 :] != comp[k]) & ((part[k + 1 :] != part[k]) | (not across))) + k + 1
+                    rest = rest[(key[rest] == key[k]) & ~(keys[rest, : band[k]] == keys[k, : band[k]]).any(1)]
+                    if not len(rest):
+                        continue
+                    x = bits[rest] ^ bits[k]
+                    equal = 1 - np.bitwise_count((x | (x >> np.uint64(1))) & odd).sum(1) / FINE
+                    e = (equal - 2.0**-BITS) / (1 - 2.0**-BITS)
+                    out += [(min(rep[k], rep[j]), max(rep[k], rep[j]), e[i]) for i, j in enumerate(rest) if e[i] >= least]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["a", "b", "e"])
+
+    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    dealt = members.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    # Each block of a bucket meets each other block in a task of its own.
+    faced = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    met = faced.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("g"), "key", "rep", "comp", "part").join(fine, "rep")
+    found = met.repartition("g").sortWithinPartitions("g").mapInArrow(compare, "a long, b long, e double")
+    return materialize(found.groupBy("a", "b").agg(F.max("e").alias("e")), "close")
 
 
 def near_duplicates(docs: DataFrame, size: int) -> DataFrame:
@@ -170,31 +228,40 @@ def near_duplicates(docs: DataFrame, size: int) -> DataFrame:
         return pairs.withColumn("rank", rank).where(F.col("rank") <= partners).select("a", "b")
 
     stars = shared.where("rep > centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    checked = confirm(best(estimated(stars), "b", 1), docs, size)
-    refuted = checked.where("NOT linked").select("a", "b")
+    sets = sets_of(docs, shared.select(F.col("rep").alias("doc_id")), size)
+    release_shuffles(spark)
+    checked = confirm(materialize(best(estimated(stars), "b", 1), "stars"), sets)
     comp = components(checked.where("linked"))
-    partners = 1
-    while True:
-        named = shared.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-        mixed_keys = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-        open_rows = materialize(named.join(mixed_keys, "key", "left_semi"), "open")
-        x, y = open_rows.alias("x"), open_rows.alias("y")
-        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-        left = materialize(estimated(pairs.join(refuted, ["a", "b"], "left_anti")), "left")
-        discard(open_rows)
-        if left.isEmpty():
-            break
-        more = confirm(best(left, "b", partners), docs, size)
-        refuted = materialize(refuted.union(more.where("NOT linked").select("a", "b")), "refuted")
+    named = shared.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+    several = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
+    # Only buckets with members of several components.
+    members = materialize(named.join(several, "key", "left_semi"), "open")
+    some = members.select(F.col("rep").alias("id")).distinct()
+    fine = finer(sets.join(some, "id", "left_semi")).join(reps.select("rep", "bands").dropDuplicates(["rep"]), "rep")
+    left = close_pairs(members, fine).join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    discard(members)
+    release_shuffles(spark)
+    left = materialize(left, "left")
+    of = lambda end: comp.select(F.col("id").alias(end), F.col("comp").alias(f"c_{end}"))
+    closest_only = True
+    while not left.isEmpty():
+        tried = materialize(best(left, "b", 1), "tried") if closest_only else left.select("a", "b")
+        more = confirm(tried, sets)
         joined = more.where("linked")
-        if not joined.isEmpty():
-            named_by = lambda end: comp.select(F.col("id").alias(end), F.col("comp").alias(f"c_{end}"))
-            lifted = joined.join(named_by("a"), "a", "left").join(named_by("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+        n_joined = joined.count()
+        if n_joined:
+            lifted = joined.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
             merged = components(lifted).select(F.col("id").alias("old"), F.col("comp").alias("new"))
             known = comp.unionByName(merged.select(F.col("old").alias("id"), F.col("old").alias("comp")).join(comp, "id", "left_anti"))
             comp = materialize(known.join(merged, known.comp == merged.old, "left").select("id", F.coalesce("new", "comp").alias("comp")), "components")
-        discard(left)
-        partners *= 4
+        if not closest_only:
+            break
+        # Pairs that have come into one component meanwhile need no confirming.
+        rest = left.join(tried, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        apart = rest.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b", "e")
+        closest_only = 2 * n_joined >= tried.count()
+        left = materialize(apart, "left")
+    discard(sets)
     by_set = sketches.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
     placed = by_set.join(comp, by_set.rep == comp.id, "left")
     id_type = docs.schema["doc_id"].dataType
@@ -206,6 +273,25 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 2)
 
 
+ORACLE = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN ws ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS s FROM docs
+), entries AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM entries a JOIN entries b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM docs
+  UNION
+  SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sets JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
+"""
+
 STAGE_SHINGLE = 5
 
 

@@ -14,4 +14,9 @@ QUERIES = {
     "op9_suffix_tree_dedup": substrings.query,
     "op10_nn_descent": neighbours.query,
 }
-ORACLES = {"op2_host_quality_rules": host_rules.ORACLE, "op8_url_vocabulary": url_filter.ORACLE}
+ORACLES = {
+    "op2_host_quality_rules": host_rules.ORACLE,
+    "op3_bbit_minhash": minhash.ORACLE,
+    "op8_url_vocabulary": url_filter.ORACLE,
+    "op9_suffix_tree_dedup": substrings.ORACLE,
+}
