@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: What an empty segment reduces to, for 32-bit values.
@@ -75,11 +75,42 @@ def spmv(matrix: DataFrame, vector: DataFrame) -> DataFrame:
     return entries.join(vector, "col").groupBy("row").agg(F.sum(F.col("val") * F.col("x")).alias("y"))
 
 
+def median(df: DataFrame, value: str, at_once: int = 1_000_000) -> float | None:
+    """The exact median (the mean of the middle pair), None for no values.
+
+    Spark's exact percentile holds every distinct value in one task.  Here approximate percentiles,
+    whose error is bounded, narrow a bracket around the middle until so few values are left that one
+    task may rank them; each round counts what the bracket leaves below.
+    """
+    cur = df.select(F.col(value).cast("double").alias("x")).where("x IS NOT NULL")
+    left = cur.count()
+    if not left:
+        return None
+    low_rank, high_rank = (left - 1) // 2, left // 2
+    while left > at_once:
+        near = [max(0.0, low_rank / left - 0.01), min(1.0, high_rank / left + 0.01)]
+        low, high = cur.agg(F.percentile_approx("x", near, 10_000).alias("p")).first()["p"]
+        if low == high:
+            return low
+        inside = (F.col("x") >= low) & (F.col("x") <= high)
+        below, kept = cur.agg(F.count(F.when(F.col("x") < low, 1)), F.count(F.when(inside, 1))).first()
+        if kept == left:
+            break
+        cur, left, low_rank, high_rank = cur.where(inside), kept, low_rank - below, high_rank - below
+    # Equal values are one row, so ties can't make the last step large.
+    counts = cur.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
+    pair = upto.agg(*[F.min(F.when(F.col("upto") > k, F.col("x"))) for k in (low_rank, high_rank)]).first()
+    return (pair[0] + pair[1]) / 2
+
+
 def hampel_mean(df: DataFrame, value: str, cutoff: float = 3.5) -> DataFrame:
     """One row, ``mean``: of the values within ``cutoff`` of the median in units of MAD / 0.6745; if MAD is 0, of those equal to the median."""
     x = F.col(value).cast("double")
-    median = df.agg(F.percentile(x, 0.5).alias("m"))
-    away = df.select(x.alias("x")).join(F.broadcast(median), F.lit(True)).withColumn("d", F.abs(F.col("x") - F.col("m")))
-    mad = away.agg(F.percentile("d", 0.5).alias("mad"))
-    kept = away.join(F.broadcast(mad), F.lit(True)).where(F.when(F.col("mad") == 0, F.col("d") == 0).otherwise(F.col("d") * 0.6745 / F.col("mad") <= cutoff))
+    middle = median(df, value)
+    if middle is None:
+        return df.agg(F.avg(x).alias("mean"))
+    away = df.select(x.alias("x"), F.abs(x - F.lit(middle)).alias("d"))
+    mad = median(away, "d")
+    kept = away.where(F.col("d") == 0 if mad == 0 else F.col("d") * 0.6745 / F.lit(mad) <= cutoff)
     return kept.agg(F.avg("x").alias("mean"))

@@ -245,3 +245,14 @@ def test_variants_agree_on_random_input(spark):
         assert [r.pos for r in placed.orderBy("to").collect()] == [i for _, i in sorted((k & 15, i) for k, i in runs_of)]
         assert column(scan.exclusive_sum(df, "val", "pos", tile=tile), "scan") == [sum(keys[:i]) for i in range(500)]
     assert [r.val for r in sort.sort(df, "val", "pos").orderBy("rank").collect()] == sorted(keys)
+
+
+@pytest.mark.parametrize("at_once", [3, 40, 10_000])
+def test_median_narrows_to_the_exact_value(spark, array, at_once):
+    values = [r.val for r in generate.uniform(spark, 999, 300, seed=3).collect()]
+    for some in (values, values[:-1], [7] * 500 + [1], [2, 4], [5]):
+        ordered = sorted(some)
+        expected = (ordered[(len(some) - 1) // 2] + ordered[len(some) // 2]) / 2
+        assert reduce.median(array(some), "val", at_once) == expected
+    assert reduce.median(array([]), "val") is None
+    assert reduce.hampel_mean(array([]), "val").first()["mean"] is None
