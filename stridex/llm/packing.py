@@ -29,7 +29,8 @@ CAPACITY = 2048
 END_ID = 0
 #: Mean number of pieces packed together; a worker holds some 50 bytes for each.
 GROUP_PIECES = 50_000
-CACHE_UNITS = 500_000
+#: Units that a worker remembers, some 200 bytes each.
+CACHE_UNITS = 1_000_000
 #: Pieces of at least capacity / divisor count as long; 0 sorts all by length.
 LONG_DIVISORS = (8, 16, 4, 6, 12, 32, 3, 0)
 
@@ -90,7 +91,8 @@ class UnitIds(dict):
             self.clear(), self.again.clear()
             self.update(kept)
             new = units.difference(self)
-        whole = [u for u in new if _SPECIAL in u or _OTHER.search(u)]
+        joined = " ".join(new)
+        whole = [u for u in new if _SPECIAL in u or _OTHER.search(u)] if _SPECIAL in joined or _OTHER.search(joined) else []
         rest = list(new.difference(whole))
         for k in range(0, len(rest), 2000):
             some = rest[k : k + 2000]
@@ -118,7 +120,7 @@ def unit_ids(path: str) -> UnitIds:
     return _LOADED[path]
 
 
-def token_bytes(texts: list[bytes | None], ids: UnitIds, chunk: int = 1_000_000) -> Iterator[bytes]:
+def token_bytes(texts: list[bytes | None], ids: UnitIds, chunk: int = 4_000_000) -> Iterator[bytes]:
     """The ids of each text, without the end id; texts are taken a few at a time to bound the units held."""
     held, size = [], 0
     for k, text in enumerate(texts):
