@@ -1,14 +1,14 @@
 """Near-duplicate groups by b-bit MinHash, confirmed on full shingle sets.
 
 (1) Each document becomes a set of word shingles, of which ``BANDS * ROWS`` minima are taken; bands
-of minima are hashed whole, and of each minimum the low two bits are kept and packed.  Documents
+of minima are hashed whole, and of each minimum two bits are kept, after a mix, and packed.  Documents
 with one set form a class, and its smallest doc_id goes on alone, so exact copies cost one row each.
 (2) Classes that share a band bucket are candidates.  Rather than all pairs of a bucket, each member
 is paired with the bucket's smallest id; a count of equal low bits, corrected for chance collisions,
 drops pairs five deviations below the threshold; the rest are confirmed on their full sets.
 (3) Components follow.  Only members of one bucket that are still in different components are compared
 further: they get a finer sketch, whose bits are counted pair by pair inside tasks, in blocks of a
-bounded number of members.  Of the pairs that pass, each member's closest is confirmed, again and
+bounded number of members; short sets go along whole and are compared exactly.  Of the pairs that pass, each member's closest is confirmed, again and
 again while most of them prove linked, and then all that are still apart.  So every link between bucket mates
 counts, nothing is compared within a component, and pairs that are not close become no rows.
 
@@ -39,6 +39,8 @@ THRESHOLD = 80  # per cent
 SLACK = 0.15
 #: The finer sketch of the few that need it, and four and a half standard deviations of its estimate.
 FINE, FINE_SLACK = 2048, 0.047
+#: Pairs of sets of at most so many shingles are compared whole rather than by the finer sketch.
+SHORT = 128
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 2000
 #: Members of one centre that a task confirms in a row; more are spread with a copy of the centre's set.
@@ -74,7 +76,8 @@ def bands(m: np.ndarray) -> np.ndarray:
 
 def packed(m: np.ndarray) -> np.ndarray:
     low = np.zeros(-(-len(m) // 32) * 32, np.uint64)
-    low[: len(m)] = m & np.uint32((1 << BITS) - 1)
+    # Low bits of a minimum rest on the low bits of its shingle alone, under every function; mixed ones do not.
+    low[: len(m)] = mixed(m.astype(np.uint64)) & np.uint64((1 << BITS) - 1)
     return (low.reshape(-1, 32) << (BITS * np.arange(32, dtype=np.uint64))).sum(1, dtype=np.uint64)
 
 
@@ -150,20 +153,32 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def finer(sets: DataFrame) -> DataFrame:
-    """rep, bits: the packed finer sketch of each set."""
+    """rep, bits, n, s: the packed finer sketch of each set, its size, and the set itself where it is short."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = [packed(minima(np.frombuffer(s, np.uint64), FINE)).tobytes() for s in batch.column("s").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(bits, pa.binary())], names=["rep", "bits"])
+            sets = batch.column("s").to_pylist()
+            bits = [packed(minima(np.frombuffer(s, np.uint64), FINE)).tobytes() for s in sets]
+            short = [s if len(s) <= 8 * SHORT else None for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(bits, pa.binary()), pa.array([len(s) // 8 for s in sets], pa.int64()), pa.array(short, pa.binary())], names=["rep", "bits", "n", "s"])
 
-    return materialize(sets.mapInArrow(compute, "rep long, bits binary").dropDuplicates(["rep"]), "fine")
+    return materialize(sets.mapInArrow(compute, "rep long, bits binary, n long, s binary").dropDuplicates(["rep"]), "fine")
+
+
+def numbered(sets: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """A row of shingle numbers for each set, filled up with a last number that no shingle has, and a flag, unset, for each number."""
+    parts = [np.frombuffer(s or b"", np.uint64) for s in sets]
+    sizes = np.array([len(x) for x in parts])
+    known, at = np.unique(np.concatenate(parts), return_inverse=True)
+    number = np.full((len(parts), sizes.max()), len(known), np.int32)
+    number[np.arange(number.shape[1]) < sizes[:, None]] = at
+    return number, np.zeros(len(known) + 1, bool)
 
 
 def close_pairs(members: DataFrame, fine: DataFrame) -> DataFrame:
-    """a, b, e for members (key, rep, comp) of one bucket and different components whose finer estimate comes near the threshold.
+    """a, b, e for members (key, rep, comp) of one bucket and different components whose finer estimate comes near the threshold, or, of short sets, whose similarity reaches it.
 
-    fine: rep, bits, bands.  A pair is compared in the first band that it shares and in no other.
+    fine: rep, bits, n, s, bands.  A pair is compared in the first band that it shares and in no other.
     """
     least = THRESHOLD / 100 - FINE_SLACK
     odd = np.uint64(0x5555555555555555)
@@ -179,6 +194,8 @@ def close_pairs(members: DataFrame, fine: DataFrame) -> DataFrame:
                 band = (keys == key[:, None]).argmax(1)
                 across = len(np.unique(part)) > 1
                 bits = np.frombuffer(b"".join(some["bits"].to_pylist()), np.uint64).reshape(len(rep), -1)
+                n, short = some["n"].to_numpy(), some["n"].to_numpy() <= SHORT
+                number, has = numbered(some["s"].to_pylist())
                 out = []
                 for k in range(len(rep) - 1):
                     rest = np.flatnonzero((comp[k + 1 :] != comp[k]) & ((part[k + 1 :] != part[k]) | (not across))) + k + 1
@@ -188,7 +205,15 @@ def close_pairs(members: DataFrame, fine: DataFrame) -> DataFrame:
                     x = bits[rest] ^ bits[k]
                     equal = 1 - np.bitwise_count((x | (x >> np.uint64(1))) & odd).sum(1) / FINE
                     e = (equal - 2.0**-BITS) / (1 - 2.0**-BITS)
-                    out += [(min(rep[k], rep[j]), max(rep[k], rep[j]), e[i]) for i, j in enumerate(rest) if e[i] >= least]
+                    near = e >= least
+                    whole = np.flatnonzero(short[rest] & short[k])
+                    if len(whole):
+                        has[number[k]], has[-1] = True, False
+                        both = has[number[rest[whole]]].sum(1)
+                        has[number[k]] = False
+                        either = n[k] + n[rest[whole]] - both
+                        e[whole], near[whole] = both / either, 100 * both >= THRESHOLD * either
+                    out += [(min(rep[k], rep[j]), max(rep[k], rep[j]), e[i]) for i, j in enumerate(rest) if near[i]]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["a", "b", "e"])
 

@@ -179,6 +179,28 @@ def test_minhash_estimate_is_close(spark):
     assert abs(e - 900 / 1100) < 0.12
 
 
+@pytest.mark.parametrize("length", [5, 6])
+def test_near_duplicate_families_of_short_texts(spark, length):
+    """In each family the last text is linked with all others, which are apart from each other, at or near the threshold."""
+    rows = []
+    for family in range(150):
+        base = " ".join(f"w{family}x{k}" for k in range(length))
+        rows += [(5 * family + k, text) for k, text in enumerate([*(f"{base} t{k}" for k in range(3)), f"head {base}", base])]
+    got = collected(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2))
+    assert {k: (r.n_shingles, r.component_id) for k, r in got.items()} == brute_groups(rows, 2)
+
+
+def test_kept_bits_agree_by_chance_only():
+    """Links of short sets at exactly the threshold, by the sketch alone."""
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        s = np.unique(rng.integers(0, 1 << 63, 5, dtype=np.uint64))
+        x, y = (minhash.packed(minhash.minima(v, minhash.FINE)) for v in (s, s[:4]))
+        d = x ^ y
+        equal = 1 - np.bitwise_count((d | (d >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum() / minhash.FINE
+        assert (equal - 0.25) / 0.75 >= minhash.THRESHOLD / 100 - minhash.FINE_SLACK
+
+
 def test_components(spark):
     links = spark.createDataFrame([(9, 8), (8, 7), (7, 1), (4, 5), (5, 4), (20, 21)] + [(k, k + 1) for k in range(30, 60)], "a long, b long")
     got = {r.id: r.comp for r in components(links).collect()}
