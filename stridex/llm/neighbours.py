@@ -7,7 +7,8 @@ every node with its neighbours and a sample of reverse neighbours, compares thos
 (neighbours of neighbours), sends each the best it met, and keeps the best ``K`` a node; rounds end
 when few entries change.  A query enters at its own node (any other vector: at sampled nodes), and
 each step expands its best unexpanded nodes by joins with the graph, until ``STEPS`` or nothing is
-left.  Graph and search compare 8-bit forms of the vectors; the best ``POOL`` are then ranked by the
+left.  Graph and search compare 32-bit forms of the vectors in double precision and hold the cosine
+less one, so that near-copies are told apart; all of the best ``POOL`` are then ranked by the
 exact cosine of the original vectors in double precision.
 
 Defined cases: vectors that are null, empty, zero, of another length than most, or hold null or
@@ -37,11 +38,12 @@ ROUNDS = 8
 SETTLED = 0.01
 GROUP, GROUPINGS = 64, 3
 EXPAND, STEPS, POOL = 40, 3, 120
-RERANK = 48
+#: Below any cosine less one.
+NEVER = -3.0
 
 
 def prepare(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """id, key (of the vector's bytes), exact (double bytes) and short (8-bit components of the unit vector)."""
+    """id, key (of the vector's bytes), exact (double bytes) and short (32-bit components, scaled by a power of two)."""
     small_batches(vectors.sparkSession, 5000)
     sizes = vectors.where(F.size(vec_col) > 0).groupBy(F.size(vec_col).alias("d")).count().orderBy(F.desc("count"), "d").first()
     dim = sizes["d"] if sizes else 0
@@ -53,10 +55,9 @@ def prepare(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
                 x = np.array(v, np.float64)  # nulls become nan
                 if not np.isfinite(x).all() or not x.any():
                     continue
-                unit = x / np.abs(x).max()
-                unit /= np.sqrt(unit @ unit)
                 ids.append(i), exact.append((x + 0.0).tobytes()), keys.append(hashlib.blake2b(exact[-1], digest_size=16).digest())
-                short.append(np.rint(unit * (127 / np.abs(unit).max())).astype(np.int8).tobytes())
+                # Components that were 32-bit before stay as they are, but for those too small to count.
+                short.append(np.ldexp(x, -np.frexp(np.abs(x).max())[1]).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(x, pa.binary()) for x in (keys, exact, short))], names=["id", "key", "exact", "short"])
 
     usable = vectors.where(F.col(id_col).isNotNull() & (F.size(vec_col) == dim)).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
@@ -64,8 +65,8 @@ def prepare(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def units(column) -> np.ndarray:
-    """8-bit components back to unit rows."""
-    x = np.frombuffer(b"".join(column), np.int8).reshape(len(column), -1).astype(np.float32)
+    """32-bit components as unit rows in double precision."""
+    x = np.frombuffer(b"".join(column), np.float32).reshape(len(column), -1).astype(np.float64)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -87,8 +88,8 @@ def local_join(rows: DataFrame, told: int) -> DataFrame:
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if b - a < 2:
                     continue
-                s = x[a:b] @ x[a:b].T
-                np.fill_diagonal(s, -2)
+                s = (x[a:b] @ x[a:b].T - 1).astype(np.float32)
+                np.fill_diagonal(s, 2 * NEVER)
                 t = min(told, b - a - 1)
                 best = np.argpartition(-s, t - 1, axis=1)[:, :t]
                 value = np.take_along_axis(s, best, 1)
@@ -131,13 +132,13 @@ def build(nodes: DataFrame, k: int = K, reverse: int = REVERSE, rounds: int = RO
     old = lambda df, flag: df.select("id", "near", "sim", F.lit(flag).alias("old"))
     # Several independent groupings, as one alone would leave each group to itself.
     dealt = F.array(*[F.pmod(F.xxhash64("id", F.lit(g)), F.lit(max(1, n // GROUP))) * GROUPINGS + g for g in range(GROUPINGS)])
-    start = nodes.select(F.explode(dealt).alias("v"), F.col("id").alias("u"), "short", F.lit(-2.0).cast("float").alias("least"))
+    start = nodes.select(F.explode(dealt).alias("v"), F.col("id").alias("u"), "short", F.lit(NEVER).cast("float").alias("least"))
     graph = materialize(keep_best(old(local_join(start.repartition(tasks, "v"), k), True), k), "graph")
     for r in range(rounds if n > 2 * GROUP else 0):
         forward = graph.select(F.col("id").alias("v"), F.explode("near").alias("u"))
         pick = F.row_number().over(Window.partitionBy("v").orderBy(F.xxhash64("v", "u", F.lit(r)), "u"))
         backward = forward.select(F.col("u").alias("v"), F.col("v").alias("u")).withColumn("n", pick).where(F.col("n") <= reverse).drop("n")
-        least = F.when(F.size("near") >= k, F.array_min("sim")).otherwise(F.lit(-2.0).cast("float"))
+        least = F.when(F.size("near") >= k, F.array_min("sim")).otherwise(F.lit(NEVER).cast("float"))
         member = nodes.join(graph.select("id", least.alias("least")), "id").select(F.col("id").alias("u"), "short", "least")
         met = forward.union(backward).distinct().join(member, "u").repartition(tasks, "v")
         new = materialize(keep_best(old(graph, True).union(old(local_join(met, TOLD), False)), k), "graph")
@@ -168,7 +169,7 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, steps: int =
                 if b - a > 1:
                     met = table.slice(a + 1, b - a - 1)
                     found = met["u"].to_numpy()
-                    near, sim = np.r_[near, found], np.r_[sim, units(met["node"].to_pylist()) @ units([own["short"]])[0]]
+                    near, sim = np.r_[near, found], np.r_[sim, (units(met["node"].to_pylist()) @ units([own["short"]])[0] - 1).astype(np.float32)]
                     near, first = np.unique(near, return_index=True)
                     top = np.lexsort((near, -sim[first]))[:pool]
                     near, sim = near[top], sim[first][top]
@@ -207,8 +208,8 @@ def nearest(vectors: DataFrame, is_query, count: int, id_col: str = "vec_id", ve
     entries = nodes.join(graph.select("id", "near"), "id").join(wanted, F.col("id") == F.col("rep")).select("id", "short", F.concat(F.array("id"), "near").alias("entry"))
     alone = nodes.join(wanted, F.col("id") == F.col("rep")).join(graph.select("id"), "id", "left_anti").select("id", "short", F.array("id").alias("entry"))
     found = materialize(search(materialize(entries.union(alone), "entries"), graph, nodes.select("id", "short")), "found")
-    # Of each pool the best by 8-bit forms are ranked exactly.
-    few = found.select(F.col("id").alias("q"), F.explode(F.array_union(F.array("id"), F.slice("near", 1, RERANK))).alias("u"))
+    # The whole pool is ranked exactly.
+    few = found.select(F.col("id").alias("q"), F.explode(F.array_union(F.array("id"), "near")).alias("u"))
     exact = few.join(nodes.select(F.col("id").alias("u"), F.col("exact").alias("x")), "u").join(nodes.select(F.col("id").alias("q"), F.col("exact").alias("y")), "q")
 
     def cosine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

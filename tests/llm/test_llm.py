@@ -461,6 +461,24 @@ def test_neighbours_recall(spark):
     assert got[got.query_id == 700].vec_id.tolist() == [5, 701, 702, 703, 704]
 
 
+def test_neighbours_within_a_tight_cluster(spark):
+    """A third of the rows are near-copies of one vector, none equal; recall is of their queries alone."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 64))
+    x[::3] = x[0] + 0.001 * rng.normal(size=(1000, 64))
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = neighbours.nearest(df, lambda i: i % 75 == 0, 5).toPandas()
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    hits = 0
+    for q, part in got.groupby("query_id"):
+        s = unit @ unit[q]
+        s[q] = -9
+        hits += len(set(np.argsort(-s)[:5]) & set(part.vec_id))
+    assert got.query_id.nunique() == 40
+    assert hits / 200 > 0.9, hits / 200
+
+
 def test_neighbours_odd_cases(spark):
     rows = [(0, [1.0, 0.0]), (50, [0.0, 0.0]), (100, None), (1, [1.0, None]), (2, [float("nan"), 1.0]), (3, [2.0, 0.0]), (4, [0.0, 1.0]), (5, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (3, [2.0, 0.0]), (150, [-1.0, 0.0]), (6, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"key": F.lit(1), "id": F.lit(2), "near": F.lit(3)})
