@@ -250,6 +250,34 @@ def test_language_code_length_is_exact():
         assert got[k] == pytest.approx([brute("x", t), brute("y", t)], rel=1e-5, abs=1e-9)
 
 
+def test_language_keeps_small_languages(spark, tmp_path):
+    """A language of few texts, in which no four bytes come twice, beside one that brings over a million entries."""
+    rng = random.Random(8)
+    latin = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789  "
+    rows = [(k, "".join(rng.choices(latin, k=20_000)), "big") for k in range(120)]
+    seen = set()
+    while len(rows) < 140:
+        # Each text has a first byte of its own.
+        text = chr(rng.randrange(64 * (len(rows) - 116), 64 * (len(rows) - 115))) + "".join(chr(rng.randrange(0x100, 0x600)) for _ in range(3))
+        new = language.codes([text.encode()])[0][3:].tolist()
+        if any(x.isalpha() for x in text) and not seen & set(new):
+            seen |= set(new)
+            rows.append((len(rows), text, "small"))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in language.query(spark, str(tmp_path)).collect()}
+    held = [i for i, r in got.items() if r.held_out and i >= 120]
+    assert len(got) == 140 and held and {got[i].lang_pred for i in held} == {"small"}
+
+
+def test_language_in_shards_equals_one_piece(docs, monkeypatch):
+    monkeypatch.setattr("stridex.llm.language.block_count", lambda rows: 7)
+    whole = language.identify(docs, language.train(docs))
+    parts = language.learn_and_identify(clashing(docs), docs)
+    assert sorted(map(repr, parts.collect())) == sorted(map(repr, whole.collect()))
+    assert {r.lang_pred for r in language.learn_and_identify(docs, docs.limit(0)).collect()} == {"und"}
+    assert language.learn_and_identify(docs.limit(0), docs).count() == 0
+
+
 def test_language_odd_cases(docs, empty):
     model = language.train(docs)
     got = language.identify(clashing(docs), model).collect()
