@@ -12,8 +12,12 @@ def even_bin(x: Column, low: float, high: float, bins: int) -> Column:
     return F.when((x >= low) & (x < high), F.least(F.floor((x - low) / F.lit(width)), F.lit(bins - 1))).cast("int")
 
 
+#: More levels than this are searched in an array, so that the expression stays small.
+NESTED_LEVELS = 64
+
+
 def range_bin(x: Column, levels: list[float]) -> Column:
-    """Number of the bin [levels[i], levels[i + 1]) that x lies in; null outside.  Halving the levels, so the depth is their logarithm."""
+    """Number of the bin [levels[i], levels[i + 1]) that x lies in; null outside.  By halving the levels."""
     if sorted(levels) != list(levels) or len(levels) < 2:
         raise ValueError("levels must ascend")
 
@@ -23,7 +27,15 @@ def range_bin(x: Column, levels: list[float]) -> Column:
         m = (a + b) // 2
         return F.when(x < levels[m], search(a, m)).otherwise(search(m, b))
 
-    return F.when((x >= levels[0]) & (x < levels[-1]), search(0, len(levels) - 1)).cast("int")
+    def searched() -> Column:
+        held = F.lit(list(levels))
+        # The bin lies in [at, at + width): each step halves the width.
+        steps = [1 << k for k in range((len(levels) - 2).bit_length() - 1, -1, -1)]
+        step = lambda at, width: F.when(F.coalesce(F.get(held, at + width) <= x, F.lit(False)), at + width).otherwise(at)
+        return F.aggregate(F.lit(steps), F.lit(0), step)
+
+    found = search(0, len(levels) - 1) if len(levels) <= NESTED_LEVELS else searched()
+    return F.when((x >= levels[0]) & (x < levels[-1]), found).cast("int")
 
 
 def counted(df: DataFrame, where: Column, bins: int) -> DataFrame:

@@ -1,8 +1,8 @@
 """Equi-joins by strategy, nested-loop joins, and their counting forms.
 
 The strategy is a hint: ``auto`` leaves the choice to Spark, which knows sizes; ``broadcast`` asks
-for a broadcast only where the build side is known to be small, and otherwise falls back to a
-shuffled hash join.
+for a broadcast only where the plan's size estimate of the build side is within a bound in bytes,
+and otherwise falls back to a shuffled hash join.  Estimates come from statistics: no job is run.
 """
 
 from __future__ import annotations
@@ -10,17 +10,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stridex.operators.tiles import fresh
+
 HINTS = {"auto": None, "broadcast": "broadcast", "partitioned": "shuffle_hash", "merge": "merge"}
-#: Rows up to which a build side may be broadcast.
-BROADCAST_ROWS = 2_000_000
+#: Estimated bytes up to which a side may be broadcast.  Files are compressed, so the copy in memory may be several times this.
+BROADCAST_BYTES = 64 << 20
+
 
+def estimated_bytes(df: DataFrame) -> int:
+    """What the optimizer thinks the rows take; very large where it can't tell."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
-def hash_join(build: DataFrame, probe: DataFrame, key: str | list[str], strategy: str = "auto", how: str = "inner", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """probe joined with build on key; duplicates on both sides multiply."""
+
+def hash_join(build: DataFrame, probe: DataFrame, key: str | list[str], strategy: str = "auto", how: str = "inner", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """probe joined with build on key; duplicates on both sides multiply, null keys meet nothing."""
     if strategy not in HINTS:
         raise ValueError(f"unknown strategy {strategy}")
     hint = HINTS[strategy]
-    if hint == "broadcast" and build.limit(broadcast_rows + 1).count() > broadcast_rows:
+    if hint == "broadcast" and estimated_bytes(build) > broadcast_bytes:
         hint = "shuffle_hash"
     return probe.join(build.hint(hint) if hint else build, key, how)
 
@@ -28,16 +35,18 @@ def hash_join(build: DataFrame, probe: DataFrame, key: str | list[str], strategy
 def count_matches(build: DataFrame, probe: DataFrame, key: str | list[str], strategy: str = "auto") -> DataFrame:
     """One row, ``matches``.  Both sides are counted by key before they meet, so a hot key costs one row."""
     keys = [key] if isinstance(key, str) else key
+    b, p = fresh(keys, "b", "p")
     side = lambda df, n: df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
-    met = hash_join(side(build, "__b"), side(probe, "__p"), keys, strategy)
-    return met.agg(F.coalesce(F.sum(F.col("__b") * F.col("__p")), F.lit(0)).cast("long").alias("matches"))
+    met = hash_join(side(build, b), side(probe, p), keys, strategy)
+    return met.agg(F.coalesce(F.sum(F.col(b) * F.col(p)), F.lit(0)).cast("long").alias("matches"))
+
 
+def nested_loop_join(outer: DataFrame, inner: DataFrame, condition: Column, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Join on any condition: the inner side goes whole to every task if it is small, else the sides meet block by block.
 
-def nested_loop_join(outer: DataFrame, inner: DataFrame, condition: Column, inner_rows: int = 100_000) -> DataFrame:
-    """Join on any condition, against an inner side of a bounded number of rows."""
-    if inner.limit(inner_rows + 1).count() > inner_rows:
-        raise ValueError(f"the inner side has more than {inner_rows} rows; use a range or equi-join")
-    return outer.join(F.broadcast(inner), condition)
+    Work grows with the product of the sides; ``band_join`` serves ranges in less.
+    """
+    return outer.join(F.broadcast(inner) if estimated_bytes(inner) <= broadcast_bytes else inner, condition)
 
 
 def indexed_join(outer: DataFrame, position: str, source: DataFrame) -> DataFrame:
@@ -47,5 +56,6 @@ def indexed_join(outer: DataFrame, position: str, source: DataFrame) -> DataFram
 
 def band_join(left: DataFrame, right: DataFrame, on: str, low: str, high: str, width: int) -> DataFrame:
     """left rows whose ``on`` lies in right's [low, high): both sides are dealt by bands of ``width``, so no side is copied whole."""
-    bands = right.withColumn("__band", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor((F.col(high) - 1) / width))))
-    return left.withColumn("__band", F.floor(F.col(on) / width)).join(bands, "__band").where((F.col(on) >= F.col(low)) & (F.col(on) < F.col(high))).drop("__band")
+    band, = fresh([*left.columns, *right.columns], "band")
+    bands = right.where(F.col(low) < F.col(high)).withColumn(band, F.explode(F.sequence(F.floor(F.col(low) / width), F.floor((F.col(high) - 1) / width))))
+    return left.withColumn(band, F.floor(F.col(on) / width)).join(bands, band).where((F.col(on) >= F.col(low)) & (F.col(on) < F.col(high))).drop(band)

@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stridex.plans.tables import cut
+
 #: What an empty segment reduces to, for 32-bit values.
 INT_MIN, INT_MAX = -(1 << 31), (1 << 31) - 1
 IDENTITY = {"sum": 0, "min": INT_MAX, "max": INT_MIN}
+#: Bits of a row number that each level of a reduction folds away.
+LEVEL_BITS, LEVELS = 13, 3
 
 
 def _wide(df: DataFrame, value: str) -> Column:
@@ -22,11 +26,22 @@ def reduce(df: DataFrame, value: str) -> DataFrame:
     return df.agg(F.sum(v).alias("sum"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("n"))
 
 
-def reduce_by(df: DataFrame, value: str, combine: Callable[[Column, Column], Column], init: Column, groups: int = 1024) -> DataFrame:
-    """Any commutative and associative operation: folded in many groups first, then over the group results."""
-    fold = lambda c: F.aggregate(F.collect_list(c), init, combine)
-    part = df.groupBy(F.pmod(F.xxhash64(value), F.lit(groups)).alias("g"), F.spark_partition_id().alias("p")).agg(fold(F.col(value)).alias("x"))
-    return part.agg(fold(F.col("x")).alias("result"))
+def reduce_by(df: DataFrame, value: str, combine: Callable[[Column, Column], Column], init: Column | None = None) -> DataFrame:
+    """One row, ``result``: any commutative and associative operation over all values that aren't null, and ``init`` once.
+
+    Rows are folded by thousands, in levels, by their number in their partition, so a list is short
+    whatever the values.  Without values the result is ``init``, or null without one.
+    """
+
+    def folded(c: Column) -> Column:
+        rows = F.collect_list(c)
+        return F.aggregate(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), F.get(rows, 0), combine)
+
+    part = df.select(F.col(value).alias("x"), F.monotonically_increasing_id().alias("g"))
+    for _ in range(LEVELS):
+        part = part.groupBy(F.shiftright("g", LEVEL_BITS).alias("g")).agg(folded(F.col("x")).alias("x"))
+    last = part.agg(folded(F.col("x")).alias("result"))
+    return last if init is None else last.select(F.when(F.col("result").isNull(), init).otherwise(combine(init, F.col("result"))).alias("result"))
 
 
 def argmin(df: DataFrame, value: str, pos: str) -> DataFrame:
@@ -69,34 +84,44 @@ def odd_counts(df: DataFrame, value: str, pos: str, tile: int) -> DataFrame:
     return df.groupBy(F.floor(F.col(pos) / tile).alias("tile")).agg(F.sum(F.col(value).cast("long").bitwiseAND(F.lit(1).cast("long"))).alias("odd"))
 
 
-def spmv(matrix: DataFrame, vector: DataFrame) -> DataFrame:
-    """row, y of y = A x.  matrix: row, col, val (repeated entries add up); vector: col, x.  Rows without entries are absent."""
-    entries = matrix.groupBy("row", "col").agg(F.sum("val").alias("val"))
-    return entries.join(vector, "col").groupBy("row").agg(F.sum(F.col("val") * F.col("x")).alias("y"))
+def spmv(matrix: DataFrame, vector: DataFrame, rows: DataFrame | int | None = None) -> DataFrame:
+    """row, y of y = A x.  matrix: row, col, val (repeated entries add up); vector: col, x.
+
+    ``rows`` (a table of ``row``, or the number of rows from 0) says which rows A has; one without
+    entries has y = 0.  Without it, rows without entries are absent.
+    """
+    y = matrix.join(vector, "col").groupBy("row").agg(F.sum(F.col("val") * F.col("x")).alias("y"))
+    if rows is None:
+        return y
+    every = matrix.sparkSession.range(rows).select(F.col("id").alias("row")) if isinstance(rows, int) else rows.select("row").distinct()
+    return every.join(y, "row", "left").select("row", F.coalesce("y", F.lit(0).cast(y.schema["y"].dataType)).alias("y"))
 
 
 def median(df: DataFrame, value: str, at_once: int = 1_000_000) -> float | None:
     """The exact median (the mean of the middle pair), None for no values.
 
-    Spark's exact percentile holds every distinct value in one task.  Here approximate percentiles,
-    whose error is bounded, narrow a bracket around the middle until so few values are left that one
-    task may rank them; each round counts what the bracket leaves below.
+    Spark's exact median holds every distinct value in one task.  Here approximate percentiles, whose
+    error is bounded, narrow a bracket around the middle until so few values are left that one task
+    may rank them.  The first bracket, some hundredths of the rows, is written down, so the source is
+    read twice at most.
     """
     cur = df.select(F.col(value).cast("double").alias("x")).where("x IS NOT NULL")
-    left = cur.count()
+    near = lambda low, high: F.percentile_approx("x", [max(0.0, low - 0.01), min(1.0, high + 0.01)], 10_000)
+    left, (low, high) = (lambda r: (r[0], r[1] or (None, None)))(cur.agg(F.count("x"), near(0.5, 0.5)).first())
     if not left:
         return None
-    low_rank, high_rank = (left - 1) // 2, left // 2
+    low_rank, high_rank, source = (left - 1) // 2, left // 2, True
     while left > at_once:
-        near = [max(0.0, low_rank / left - 0.01), min(1.0, high_rank / left + 0.01)]
-        low, high = cur.agg(F.percentile_approx("x", near, 10_000).alias("p")).first()["p"]
         if low == high:
             return low
         inside = (F.col("x") >= low) & (F.col("x") <= high)
         below, kept = cur.agg(F.count(F.when(F.col("x") < low, 1)), F.count(F.when(inside, 1))).first()
         if kept == left:
             break
-        cur, left, low_rank, high_rank = cur.where(inside), kept, low_rank - below, high_rank - below
+        cur, source = cut(cur.where(inside), "bracket") if source else cur.where(inside), False
+        left, low_rank, high_rank = kept, low_rank - below, high_rank - below
+        if left > at_once:
+            low, high = cur.agg(near(low_rank / left, high_rank / left)).first()[0]
     # Equal values are one row, so ties can't make the last step large.
     counts = cur.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
     upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))

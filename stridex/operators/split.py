@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from stridex.functions.scalar import bucket as low_bits
 from stridex.functions.scalar import check_power_of_two
-
-TILE = 1 << 20
+from stridex.operators.tiles import TILE, fresh
 
 
 def histogram(df: DataFrame, key: str, buckets: int) -> DataFrame:
@@ -31,16 +30,17 @@ def bucket_starts(df: DataFrame, key: str, buckets: int) -> DataFrame:
 
 
 def place(df: DataFrame, bucket: str, order: str, out: str = "pos", tile: int = TILE) -> DataFrame:
-    """``df`` with the output position of each row; ``order`` is unique and dense."""
+    """``df`` with the output position of each row; ``order`` is unique, and may have gaps."""
+    at, b, start, n, size, offset = fresh([*df.columns, out], "tile", "b", "start", "n", "size", "offset")
     # The filter is said once for all branches, so that they share one count exchange; rows without bucket or position have no place.
-    tiled = df.withColumn("__tile", F.floor(F.col(order) / tile)).where(F.col(bucket).isNotNull() & F.col("__tile").isNotNull())
-    counts = tiled.groupBy(bucket, "__tile").agg(F.count(F.lit(1)).alias("n"))
-    sizes = counts.groupBy(bucket).agg(F.sum("n").alias("size"))
-    starts = sizes.select(F.col(bucket).alias("__b"), F.coalesce(F.sum("size").over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
-    earlier = F.coalesce(F.sum("n").over(Window.partitionBy(bucket).orderBy("__tile").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.withColumn("__earlier", earlier).join(starts, F.col(bucket).eqNullSafe(F.col("__b"))).select(bucket, "__tile", (F.col("__start") + F.col("__earlier")).alias("__offset"))
-    rank = F.row_number().over(Window.partitionBy(bucket, "__tile").orderBy(order)) - 1
-    return tiled.join(offsets, [bucket, "__tile"]).withColumn(out, (F.col("__offset") + rank).cast("long")).drop("__tile", "__offset")
+    tiled = df.withColumn(at, F.floor(F.col(order) / tile)).where(F.col(bucket).isNotNull() & F.col(at).isNotNull())
+    counts = tiled.groupBy(bucket, at).agg(F.count(F.lit(1)).alias(n))
+    sizes = counts.groupBy(bucket).agg(F.sum(n).alias(size))
+    starts = sizes.select(F.col(bucket).alias(b), F.coalesce(F.sum(size).over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(start))
+    earlier = F.coalesce(F.sum(n).over(Window.partitionBy(bucket).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.withColumn(offset, earlier).join(starts, F.col(bucket) == F.col(b)).select(bucket, at, (F.col(start) + F.col(offset)).alias(offset))
+    rank = F.row_number().over(Window.partitionBy(bucket, at).orderBy(order)) - 1
+    return tiled.join(offsets, [bucket, at]).withColumn(out, (F.col(offset) + rank).cast("long")).select(*dict.fromkeys([*df.columns, out]))
 
 
 def split(df: DataFrame, key: str, order: str, buckets: int, values: list[str] | None = None, layout: str = "soa", bucket: Column | None = None, tile: int = TILE) -> DataFrame:

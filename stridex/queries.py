@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 
 from stridex.functions import scalar
 from stridex.operators import access, histogram, join, maps, reduce, runs, scan, select, sort, split
+from stridex.plans import inspect
+from stridex.plans.tables import shared_dir
 from stridex.sources import generate
-from stridex.sources.tables import table
+from stridex.sources.tables import save, table, upload
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,7 +83,14 @@ def _loc(s: SparkSession, d: str) -> DataFrame:
 
 register("gather", lambda s, d: access.gather(_source(s, d), _loc(s, d)), f"SELECT a.o_orderkey AS i, b.o_custkey AS val FROM (SELECT o_orderkey, {_LOC} AS p FROM orders) a JOIN orders b ON b.o_orderkey = a.p")
 register("gather_out_of_range", lambda s, d: access.gather(_source(s, d), _loc(s, d).withColumn("pos", F.col("pos") + 100), passes=4).select("i", F.coalesce("val", F.lit(-1)).alias("val")), f"SELECT a.o_orderkey AS i, coalesce(b.o_custkey, -1) AS val FROM (SELECT o_orderkey, {_LOC} + 100 AS p FROM orders) a LEFT JOIN orders b ON b.o_orderkey = a.p")
-register("gather_pass", lambda s, d: access.gather(_source(s, d), _loc(s, d).where(access.in_pass(F.col("pos"), 1, 4, 1000)), missing="drop"), f"SELECT a.o_orderkey AS i, b.o_custkey AS val FROM (SELECT o_orderkey, {_LOC} AS p FROM orders) a JOIN orders b ON b.o_orderkey = a.p WHERE p >= 250 AND p < 500")
+def _passes(s: SparkSession, d: str, passes: int = 4) -> DataFrame:
+    """The whole gather as its passes, each over its share of the array."""
+    length = table(s, d, "orders").count()
+    parts = [access.gather(_source(s, d), _loc(s, d).where(access.in_pass(F.col("pos"), k, passes, length)), missing="drop") for k in range(passes)]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+register("gather_pass", _passes, ORACLES["gather"])
 register("scatter", lambda s, d: access.scatter(_source(s, d), _loc(s, d)), f"SELECT {_LOC} AS pos, o_custkey AS val FROM orders")
 register("scatter_conflict_last", lambda s, d: access.scatter(_source(s, d), _loc(s, d).withColumn("pos", F.floor(F.col("pos") / 4))), f"SELECT p // 4 AS pos, max_by(o_custkey, o_orderkey) AS val FROM (SELECT o_orderkey, o_custkey, {_LOC} AS p FROM orders) GROUP BY 1")
 
@@ -105,20 +115,63 @@ register("multisplit", lambda s, d: split.multisplit(orders(s, d).select("o_orde
 register("hist_even", lambda s, d: histogram.histogram_even(prices(s, d), "cents", 0, 50_000_000, 10), f"SELECT CAST(b AS INTEGER) AS bin, count(c) AS n FROM range(10) r(b) LEFT JOIN (SELECT {CENTS} AS c FROM orders) ON c >= b * 5000000 AND c < (b + 1) * 5000000 GROUP BY b")
 _LEVELS = [0, 1_000_000, 5_000_000, 10_000_000, 40_000_000]
 register("hist_range", lambda s, d: histogram.histogram_range(prices(s, d), "cents", _LEVELS), f"SELECT b AS bin, count(c) AS n FROM (VALUES {', '.join(f'({k}, {a}, {b})' for k, (a, b) in enumerate(zip(_LEVELS, _LEVELS[1:], strict=False)))}) r(b, lo, hi) LEFT JOIN (SELECT {CENTS} AS c FROM orders) ON c >= lo AND c < hi GROUP BY b")
-register("hist_multi_even", lambda s, d: histogram.multi_histogram(orders(s, d), {"cust": (histogram.even_bin(F.col("o_custkey"), 0, 1000, 5), 5), "order": (histogram.even_bin(F.col("o_orderkey"), 0, 1500, 3), 3)}), "SELECT channel, CAST(b AS INTEGER) AS bin, count(v) AS n FROM (SELECT 'cust' AS channel, b, 200 AS w FROM range(5) r(b) UNION ALL SELECT 'order', b, 500 FROM range(3) r(b)) LEFT JOIN (SELECT 'cust' AS c, o_custkey AS v FROM orders UNION ALL SELECT 'order', o_orderkey FROM orders) ON c = channel AND v >= b * w AND v < (b + 1) * w GROUP BY channel, b")
-register("hist_multi_range", lambda s, d: histogram.multi_histogram(orders(s, d), {"cust": (histogram.range_bin(F.col("o_custkey"), [0, 10, 100]), 2), "order": (histogram.range_bin(F.col("o_orderkey"), [5, 50]), 1)}), "SELECT channel, bin, count(v) AS n FROM (VALUES ('cust', 0, 0, 10), ('cust', 1, 10, 100), ('order', 0, 5, 50)) r(channel, bin, lo, hi) LEFT JOIN (SELECT 'cust' AS c, o_custkey AS v FROM orders UNION ALL SELECT 'order', o_orderkey FROM orders) ON c = channel AND v >= lo AND v < hi GROUP BY channel, bin")
-register("hist_region", lambda s, d: histogram.histogram_even(histogram.region(orders(s, d).withColumns({"y": F.floor(F.col("o_orderkey") / 100), "x": F.col("o_orderkey") % 100}), "y", "x", (2, 9), (10, 60)), "o_custkey", 0, 1500, 3), "SELECT CAST(b AS INTEGER) AS bin, count(c) AS n FROM range(3) r(b) LEFT JOIN (SELECT o_custkey AS c FROM orders WHERE o_orderkey // 100 BETWEEN 2 AND 8 AND o_orderkey % 100 BETWEEN 10 AND 59) ON c >= b * 500 AND c < (b + 1) * 500 GROUP BY b")
+def _extent(s: SparkSession, d: str) -> tuple[int, int]:
+    """One more than the greatest customer and order key."""
+    return tuple(orders(s, d).agg(F.max("o_custkey") + 1, F.max("o_orderkey") + 1).first())
+
+
+def _multi_even(s: SparkSession, d: str) -> DataFrame:
+    c, o = _extent(s, d)
+    bins = {"cust": (histogram.even_bin(F.col("o_custkey"), 0, c, 5), 5), "order": (histogram.even_bin(F.col("o_orderkey"), 0, o, 3), 3)}
+    return histogram.multi_histogram(orders(s, d), bins)
+
+
+def _multi_range(s: SparkSession, d: str) -> DataFrame:
+    c, o = _extent(s, d)
+    bins = {"cust": (histogram.range_bin(F.col("o_custkey"), [0, c // 3, c]), 2), "order": (histogram.range_bin(F.col("o_orderkey"), [0, o // 7, o // 2, o]), 3)}
+    return histogram.multi_histogram(orders(s, d), bins)
+
+
+def _many_levels(s: SparkSession, d: str) -> DataFrame:
+    """Levels that get wider: too many for nested comparisons."""
+    return histogram.histogram_range(prices(s, d), "cents", [250 * k * k for k in range(500)])
+
+
+_BOTH = """
+WITH x AS (SELECT max(o_custkey) + 1 AS c, max(o_orderkey) + 1 AS o FROM orders),
+v AS (SELECT 'cust' AS channel, o_custkey AS v FROM orders UNION ALL SELECT 'order', o_orderkey FROM orders),
+"""
+register("hist_multi_even", _multi_even, _BOTH + """
+r AS (SELECT 'cust' AS channel, CAST(b AS INTEGER) AS bin, CAST(c AS DOUBLE) / 5 AS w FROM range(5) t(b), x UNION ALL SELECT 'order', CAST(b AS INTEGER), CAST(o AS DOUBLE) / 3 FROM range(3) t(b), x)
+SELECT r.channel, bin, count(v) AS n FROM r LEFT JOIN v ON v.channel = r.channel AND CAST(floor(v / w) AS INTEGER) = bin GROUP BY r.channel, bin""")
+register("hist_multi_range", _multi_range, _BOTH + """
+r AS (SELECT 'cust' AS channel, 0 AS bin, 0 AS lo, c // 3 AS hi FROM x UNION ALL SELECT 'cust', 1, c // 3, c FROM x
+  UNION ALL SELECT 'order', 0, 0, o // 7 FROM x UNION ALL SELECT 'order', 1, o // 7, o // 2 FROM x UNION ALL SELECT 'order', 2, o // 2, o FROM x)
+SELECT r.channel, bin, count(v) AS n FROM r LEFT JOIN v ON v.channel = r.channel AND v >= lo AND v < hi GROUP BY r.channel, bin""")
+register("hist_many_levels", _many_levels, f"SELECT CAST(b AS INTEGER) AS bin, count(c) AS n FROM range(499) r(b) LEFT JOIN (SELECT {CENTS} AS c FROM orders) ON c >= 250 * b * b AND c < 250 * (b + 1) * (b + 1) GROUP BY b")
+def _region(s: SparkSession, d: str) -> DataFrame:
+    """Orders as an image of 100 columns; the region leaves an eighth of the rows out at either end."""
+    c, o = _extent(s, d)
+    image, height = orders(s, d).withColumns({"y": F.floor(F.col("o_orderkey") / 100), "x": F.col("o_orderkey") % 100}), -(-o // 100)
+    return histogram.histogram_even(histogram.region(image, "y", "x", (height // 8, height - height // 8), (10, 60)), "o_custkey", 0, c, 3)
+
+
+register("hist_region", _region, """
+WITH x AS (SELECT max(o_custkey) + 1 AS c, (max(o_orderkey) + 100) // 100 AS h FROM orders),
+v AS (SELECT CAST(floor(o_custkey / (CAST(c AS DOUBLE) / 3)) AS INTEGER) AS bin FROM orders, x
+  WHERE o_orderkey // 100 >= h // 8 AND o_orderkey // 100 < h - h // 8 AND o_orderkey % 100 BETWEEN 10 AND 59)
+SELECT CAST(b AS INTEGER) AS bin, count(bin) AS n FROM range(3) r(b) LEFT JOIN v ON bin = b GROUP BY b""")
 
 # Sorts.
 for _name, _by, _options in (("sort_keys", "o_custkey", {}), ("sort_keys_desc", "o_custkey DESC", {"descending": True}), ("sort_window", "o_custkey", {"strategy": "window"})):
-    register(_name, lambda s, d, o=_options: sort.sort(orders(s, d), "o_custkey", "o_orderkey", **o).select("o_custkey", "rank"), f"SELECT o_custkey, CAST(row_number() OVER (ORDER BY {_by}, o_orderkey) - 1 AS INTEGER) AS rank FROM orders")
+    register(_name, lambda s, d, o=_options: sort.sort(orders(s, d), "o_custkey", "o_orderkey", **o).select("o_custkey", "rank"), f"SELECT o_custkey, CAST(row_number() OVER (ORDER BY {_by}, o_orderkey) - 1 AS BIGINT) AS rank FROM orders")
 for _name, _by, _down in (("sort_pairs", "o_custkey", False), ("sort_pairs_desc", "o_custkey DESC", True)):
-    register(_name, lambda s, d, x=_down: sort.sort(orders(s, d), "o_custkey", "o_orderkey", descending=x).select("o_custkey", "o_orderkey", "rank"), f"SELECT o_custkey, o_orderkey, CAST(row_number() OVER (ORDER BY {_by}, o_orderkey) - 1 AS INTEGER) AS rank FROM orders")
-register("sort_bits", lambda s, d: sort.sort_bits(orders(s, d), "o_custkey", "o_orderkey", 4, 8).select("o_orderkey", "rank"), "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY (o_custkey >> 4) & 15, o_orderkey) - 1 AS INTEGER) AS rank FROM orders")
-register("sort_unsigned", lambda s, d: sort.sort_unsigned(orders(s, d).withColumn("k", F.col("o_custkey") - 50), "k", "o_orderkey").select("o_orderkey", "rank"), "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_custkey - 50 < 0, o_custkey, o_orderkey) - 1 AS INTEGER) AS rank FROM orders")
+    register(_name, lambda s, d, x=_down: sort.sort(orders(s, d), "o_custkey", "o_orderkey", descending=x).select("o_custkey", "o_orderkey", "rank"), f"SELECT o_custkey, o_orderkey, CAST(row_number() OVER (ORDER BY {_by}, o_orderkey) - 1 AS BIGINT) AS rank FROM orders")
+register("sort_bits", lambda s, d: sort.sort_bits(orders(s, d), "o_custkey", "o_orderkey", 4, 8).select("o_orderkey", "rank"), "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY (o_custkey >> 4) & 15, o_orderkey) - 1 AS BIGINT) AS rank FROM orders")
+register("sort_unsigned", lambda s, d: sort.sort_unsigned(orders(s, d).withColumn("k", F.col("o_custkey") - 50), "k", "o_orderkey").select("o_orderkey", "rank"), "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_custkey - 50 < 0, o_custkey, o_orderkey) - 1 AS BIGINT) AS rank FROM orders")
 for _name, _by, _down in (("seg_sort", "o_orderkey % 97", False), ("seg_sort_desc", "o_orderkey % 97 DESC", True)):
-    register(_name, lambda s, d, x=_down: sort.segmented_sort(orders(s, d).withColumn("k", F.col("o_orderkey") % 97), "o_custkey", "k", "o_orderkey", x).select("o_custkey", "o_orderkey", "k", "rank"), f"SELECT o_custkey, o_orderkey, o_orderkey % 97 AS k, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY {_by}, o_orderkey) - 1 AS INTEGER) AS rank FROM orders")
-register("digit_rank", lambda s, d: sort.digit_rank(orders(s, d).withColumn("block", F.floor(F.col("o_orderkey") / 256)), "block", "o_custkey", "o_orderkey", 0, 4).select("o_orderkey", "rank"), "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderkey // 256 ORDER BY o_custkey & 15, o_orderkey) - 1 AS INTEGER) AS rank FROM orders")
+    register(_name, lambda s, d, x=_down: sort.segmented_sort(orders(s, d).withColumn("k", F.col("o_orderkey") % 97), "o_custkey", "k", "o_orderkey", x).select("o_custkey", "o_orderkey", "k", "rank"), f"SELECT o_custkey, o_orderkey, o_orderkey % 97 AS k, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY {_by}, o_orderkey) - 1 AS BIGINT) AS rank FROM orders")
+register("digit_rank", lambda s, d: sort.digit_rank(orders(s, d).withColumn("block", F.floor(F.col("o_orderkey") / 256)), "block", "o_custkey", "o_orderkey", 0, 4).select("o_orderkey", "rank"), "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderkey // 256 ORDER BY o_custkey & 15, o_orderkey) - 1 AS BIGINT) AS rank FROM orders")
 register("top_keys", lambda s, d: sort.top(prices(s, d), "cents", "o_orderkey", 10), f"SELECT o_orderkey, {CENTS} AS cents FROM orders ORDER BY cents DESC, o_orderkey LIMIT 10")
 
 # Joins.
@@ -139,9 +192,14 @@ register("join_count", lambda s, d: join.count_matches(orders(s, d).withColumnRe
 register("join_count_partitioned", lambda s, d: join.count_matches(orders(s, d), orders(s, d), "o_custkey", "partitioned"), "SELECT count(*) AS matches FROM orders a JOIN orders b USING (o_custkey)")
 register("join_nested_loop", lambda s, d: join.nested_loop_join(table(s, d, "nation"), table(s, d, "region"), F.col("n_regionkey") < F.col("r_regionkey")).select("n_name", "r_name"), "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey < r_regionkey")
 register("join_indexed", lambda s, d: join.indexed_join(_lines(s, d), "l_partkey", table(s, d, "part").select(F.col("p_partkey").alias("pos"), "p_size")).select("l_orderkey", "l_linenumber", "p_size"), "SELECT l_orderkey, l_linenumber, p_size FROM lineitem JOIN part ON l_partkey = p_partkey")
-register("join_band", lambda s, d: join.band_join(orders(s, d), s.range(20).select((F.col("id") * 70).alias("low"), (F.col("id") * 70 + 90).alias("high")), "o_custkey", "low", "high", 64).select("o_orderkey", "low"), "SELECT o_orderkey, r.b * 70 AS low FROM orders JOIN range(20) r(b) ON o_custkey >= r.b * 70 AND o_custkey < r.b * 70 + 90")
+def _bands(s: SparkSession, d: str) -> DataFrame:
+    count = -(-_extent(s, d)[0] // 70)
+    return join.band_join(orders(s, d), s.range(count).select((F.col("id") * 70).alias("low"), (F.col("id") * 70 + 90).alias("high")), "o_custkey", "low", "high", 64).select("o_orderkey", "low")
+
+
+register("join_band", _bands, "SELECT o_orderkey, r.b * 70 AS low FROM orders JOIN (SELECT unnest(range((SELECT (max(o_custkey) + 70) // 70 FROM orders))) AS b) r ON o_custkey >= r.b * 70 AND o_custkey < r.b * 70 + 90")
 register("join_semi", lambda s, d: join.hash_join(orders(s, d).select(F.col("o_custkey").alias("c_custkey")), table(s, d, "customer").select("c_custkey", "c_nationkey"), "c_custkey", how="left_semi"), "SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
-register("join_anti", lambda s, d: join.hash_join(orders(s, d).select(F.col("o_custkey").alias("c_custkey")), table(s, d, "customer").select("c_custkey", "c_nationkey"), "c_custkey", how="left_anti"), "SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+register("join_anti", lambda s, d: join.hash_join(orders(s, d).where("o_custkey % 3 <> 0").select(F.col("o_custkey").alias("c_custkey")), table(s, d, "customer").select("c_custkey", "c_nationkey"), "c_custkey", how="left_anti"), "SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey % 3 <> 0)")
 
 # Reductions.
 register("reduce_all", lambda s, d: reduce.reduce(prices(s, d), "cents"), f"SELECT CAST(sum(c) AS BIGINT) AS sum, min(c) AS min, max(c) AS max, count(c) AS n FROM (SELECT {CENTS} AS c FROM orders)")
@@ -188,9 +246,52 @@ register("select_flagged", lambda s, d: select.select_flagged(orders(s, d), orde
 _HALVES = f"SELECT o_orderkey, o_custkey, {_EVEN} AS selected, CASE WHEN {_EVEN} THEN s - 1 ELSE n - 1 - (o_orderkey - s) END AS out_pos FROM (SELECT *, CAST(sum(CASE WHEN {_EVEN} THEN 1 ELSE 0 END) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS s, count(*) OVER () AS n FROM orders)"
 register("partition_if", lambda s, d: select.partition_if(orders(s, d), F.expr(_EVEN), "o_orderkey", tile=TILE), _HALVES)
 register("partition_flagged", lambda s, d: select.partition_flagged(orders(s, d), orders(s, d).select("o_orderkey", F.expr(_EVEN).alias("flag")), "o_orderkey"), _HALVES)
-register("select_range", lambda s, d: orders(s, d).where(select.in_range(F.col("o_orderkey"), 100, 900)), "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 900")
+def _middle(s: SparkSession, d: str) -> DataFrame:
+    n = _extent(s, d)[1]
+    return orders(s, d).where(select.in_range(F.col("o_orderkey"), n // 10, n - n // 10))
+
+
+register("select_range", _middle, "SELECT o_orderkey, o_custkey FROM orders, (SELECT max(o_orderkey) + 1 AS n FROM orders) WHERE o_orderkey >= n // 10 AND o_orderkey < n - n // 10")
+
+# Positions with gaps, with an offset or null, and results that start from a value.
+_ODD = "(SELECT event_id, user_id, event_type FROM events WHERE event_id % 2 = 1 AND event_id % 7 <> 3)"
+_odd = lambda s, d: events(s, d).where("event_id % 2 = 1 AND event_id % 7 <> 3")
+_GAPS = _ALL.replace("FROM events WINDOW", f"FROM {_ODD} WINDOW")
+register("rle_gaps", lambda s, d: runs.run_length_encode(_odd(s, d), "event_type", "event_id", tile=64), _GAPS + "SELECT run, any_value(event_type) AS event_type, min(event_id) AS \"offset\", count(*) AS length FROM r GROUP BY run")
+register("unique_gaps", lambda s, d: runs.unique(_odd(s, d), "event_type", "event_id", tile=64), _GAPS + "SELECT event_id, user_id, event_type FROM r WHERE h = 1")
+register("adjacent_diff_gaps", lambda s, d: runs.adjacent_difference(_odd(s, d), "user_id", "event_id", tile=64).select("event_id", F.coalesce("diff", F.lit(0)).alias("diff")), f"SELECT event_id, coalesce(user_id - lag(user_id) OVER (ORDER BY event_id), 0) AS diff FROM {_ODD}")
+register("shift_gaps", lambda s, d: runs.shift(_odd(s, d), "user_id", "event_id", 4, "moved", tile=64).select("event_id", F.coalesce("moved", F.lit(-1)).alias("moved")), f"SELECT event_id, coalesce(lag(user_id, 4) OVER (ORDER BY event_id), -1) AS moved FROM {_ODD}")
+register("scan_null_pos", lambda s, d: scan.inclusive_sum(orders(s, d).withColumn("p", F.when(F.col("o_orderkey") != 5, F.col("o_orderkey"))), "o_custkey", "p", tile=64).select("o_orderkey", "scan"), "SELECT o_orderkey, CAST(sum(o_custkey) OVER (ORDER BY CASE WHEN o_orderkey <> 5 THEN o_orderkey END NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS scan FROM orders")
+register("scan_segmented_tiled", lambda s, d: scan.exclusive_sum(orders(s, d).withColumn("g", F.col("o_orderkey") % 3 == 0), "o_custkey", "o_orderkey", segment="g", tile=256).select("o_orderkey", "scan"), "SELECT o_orderkey, CAST(coalesce(sum(o_custkey) OVER (PARTITION BY o_orderkey % 3 = 0 ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS scan FROM orders")
+register("partition_offset", lambda s, d: select.partition_if(orders(s, d).withColumn("o_orderkey", F.col("o_orderkey") * 3 + 1000), F.col("o_custkey") % 3 == 0, "o_orderkey", tile=TILE), "SELECT o_orderkey * 3 + 1000 AS o_orderkey, o_custkey, o_custkey % 3 = 0 AS selected, CASE WHEN o_custkey % 3 = 0 THEN s - 1 ELSE n - 1 - (i - s) END AS out_pos FROM (SELECT *, CAST(sum(CASE WHEN o_custkey % 3 = 0 THEN 1 ELSE 0 END) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS s, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders)")
+register("reduce_init", lambda s, d: reduce.reduce_by(orders(s, d), "o_custkey", lambda a, b: a + b, F.lit(5).cast("long")), "SELECT CAST(sum(o_custkey) + 5 AS BIGINT) AS result FROM orders")
+# The right value if it is a multiple of five, else the left one: associative, and not commutative.
+_right = lambda a, b: F.when(b % 5 == 0, b).otherwise(a)
+_FOLD = "coalesce(last_value(CASE WHEN o_custkey % 5 = 0 THEN o_custkey END IGNORE NULLS) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND {}), {})"
+register("scan_fold_all", lambda s, d: scan.fold_scan(orders(s, d), "o_custkey", "o_orderkey", None, _right).select("o_orderkey", "scan"), "SELECT o_orderkey, " + _FOLD.format("CURRENT ROW", "first_value(o_custkey) OVER (ORDER BY o_orderkey)") + " AS scan FROM orders")
+register("scan_fold_exclusive", lambda s, d: scan.fold_scan(orders(s, d), "o_custkey", "o_orderkey", None, _right, inclusive=False, init=F.lit(-7).cast("long")).select("o_orderkey", "scan"), "SELECT o_orderkey, CAST(" + _FOLD.format("1 PRECEDING", "-7") + " AS BIGINT) AS scan FROM orders")
+register("spmv_empty_rows", lambda s, d: reduce.spmv(table(s, d, "lineitem").where("l_orderkey % 4 = 1").select(F.col("l_orderkey").alias("row"), F.col("l_partkey").alias("col"), F.col("l_quantity").cast("long").alias("val")), table(s, d, "part").select(F.col("p_partkey").alias("col"), F.col("p_size").cast("long").alias("x")), orders(s, d).select(F.col("o_orderkey").alias("row"))), "SELECT o_orderkey AS row, CAST(coalesce(sum(CAST(trunc(l_quantity) AS BIGINT) * p_size), 0) AS BIGINT) AS y FROM orders LEFT JOIN (SELECT * FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 4 = 1) ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 
 # Generated inputs.
 register("generate_permutation", lambda s, d: generate.permutation(s, 10_000), "SELECT i, (i * 7 + 3) % 10000 AS pos FROM range(10000) r(i)")
 register("generate_counting", lambda s, d: generate.counting(s, 10_000, 10), "SELECT i AS pos, i + 10 AS val FROM range(10000) r(i)")
 register("generate_constant", lambda s, d: generate.constant(s, 10_000, 1024), "SELECT i AS pos, 1024 AS val FROM range(10000) r(i)")
+register("generate_uniform", lambda s, d: generate.uniform(s, 10_000, 64).select("pos", F.col("val").between(0, 63).alias("in_range")), "SELECT i AS pos, true AS in_range FROM range(10000) r(i)")
+
+# Rows of the driver, written files and the code of a plan.
+register("upload", lambda s, d: upload(s, [(k, f"row {k}", k * 0.5) for k in range(100)], "id long, name string, half double"), "SELECT i AS id, 'row ' || i AS name, i * 0.5::DOUBLE AS half FROM range(100) r(i)")
+
+
+def _reread(file_format: str, schema: str | None = None) -> Callable[[SparkSession, str], DataFrame]:
+    def query(s: SparkSession, d: str) -> DataFrame:
+        path = f"{shared_dir(s)}/saved-{file_format}"
+        save(table(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), path, file_format)
+        reader = s.read.format(file_format)
+        return (reader.schema(schema) if schema else reader).load(path)
+
+    return query
+
+
+for _format in ("parquet", "orc", "json", "csv"):
+    register(f"save_{_format}", _reread(_format, None if _format in ("parquet", "orc") else "n_nationkey long, n_name string, n_regionkey long"), "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+register("generated_code", lambda s, d: upload(s, [("class" in inspect.generated_code(orders(s, d).where("o_custkey > 3")),)], "has_class boolean"), "SELECT true AS has_class")

@@ -17,7 +17,6 @@ def sql():
     return con
 
 
-
 @pytest.mark.parametrize("name", QUERIES)
 def test_query_equals_sql(spark, sql, name):
     got = QUERIES[name](spark, FOLDER)
