@@ -1,15 +1,20 @@
-"""Exact corpus-wide totals for the keys of each block of documents, without joining row by row.
+"""Documents in blocks, and exact corpus-wide totals for the keys of each block without joining row by row.
 
-Documents are dealt into blocks of a bounded mean size by a hash of their id.  A block sends each of
-its distinct keys once, with its own count, to the shard that owns the key; shards are ranges of the
-64-bit key space, so they are even whatever the keys.  A shard adds up and answers every block with
-totals in the order the keys came in, so answers carry no keys.  A key that all documents hold costs
-one entry a block, a shard holds as much however large the corpus, and nothing is collected to the driver.
+A task takes its documents as they come and closes a block once it holds ``BLOCK_BYTES`` of text; a
+block is one row, its documents compressed, so it is never cut again, whatever the ids: a null id, or
+one that many rows share, gathers nothing.  The blocks are written once and need no shuffle to be read.
+
+A block sends each of its distinct keys once, with its own count, to the shard that owns the key;
+shards are ranges of the 64-bit key space, so they are even whatever the keys.  A shard adds up and
+answers every block with totals in the order the keys came in, so answers carry no keys.  A key that
+all documents hold costs one entry a block, a shard holds as much however large the corpus, and
+nothing is collected to the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,30 +22,78 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridex.llm.common import groups_of, ship
+from stridex.llm.common import groups_of, materialize, partitions, small_batches
 
-#: Mean bytes of text in a block: bounds what a task holds.
+#: Bytes of text after which a block is closed: bounds what a task holds, but for a single longer text.
 BLOCK_BYTES = 10_000_000
 SHARDS_A_BLOCK = 2
-#: Name of the column that deals documents; no table of documents has it.
-BLOCK = "__block"
-SENT = "block int, kind int, shard int, keys binary, counts binary"
-ANSWER = "block int, kind int, shard int, totals binary, n_keys long, n_total long"
+SENT = "block long, kind int, shard int, n int, keys binary, counts binary"
+ANSWER = "block long, kind int, shard int, n int, totals binary, n_keys long, n_total long, most long"
+#: Blocks are large rows; small groups of them keep readers small.
+ROW_GROUP = 16 << 20
+
+
+@dataclass
+class Blocks:
+    """table: block, data; shards: how many parts the key space has, in proportion to the text and at least one a task."""
+
+    table: DataFrame
+    shards: int
+
+    def each(self, body: Callable[[int, pa.Table], pa.Table], schema: str) -> DataFrame:
+        """What ``body(block, rows)`` gives for each block; no row moves."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block, data in zip(batch.column("block").to_pylist(), batch.column("data"), strict=True):
+                    yield from body(block, rows_of(data)).to_batches()
+
+        return self.table.select("block", "data").mapInArrow(run, schema)
+
+    def told(self, answers: DataFrame, body: Callable[[int, pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+        """What ``body(block, rows, answers to the block)`` gives; compressed blocks and answers are shuffled."""
 
+        def run(own: pa.Table, got: pa.Table) -> pa.Table:
+            return body(own["block"][0].as_py(), rows_of(own["data"][0]), got)
 
-def block_count(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
-    ship(docs.sparkSession)
-    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    return max(1, -(-size // block_bytes))
+        return self.table.select("block", "data").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
-def shard_count(blocks: int) -> int:
-    """Shards in proportion to the blocks, so that what a shard holds stays as large however much text there is."""
-    return SHARDS_A_BLOCK * blocks
+def rows_of(data: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(data.as_buffer()).read_all()
 
 
-def with_block(docs: DataFrame, blocks: int) -> DataFrame:
-    return docs.withColumn(BLOCK, F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+def in_blocks(docs: DataFrame, name: str, block_bytes: int | None = None) -> Blocks:
+    """The rows of ``docs`` (with a ``text``), all columns, in written blocks."""
+    spark, limit = docs.sparkSession, block_bytes or BLOCK_BYTES
+    small_batches(spark)
+
+    def closed(held: list[pa.RecordBatch], block: int, size: int) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            for batch in held:
+                writer.write_batch(batch)
+        return pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "size": pa.array([size], pa.int64()), "data": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for batch in batches:
+            while batch.num_rows:
+                upto = size + np.cumsum(pa.compute.binary_length(batch.column("text")).fill_null(0).to_numpy(), dtype=np.int64)
+                take = min(int(np.searchsorted(upto, limit)) + 1, batch.num_rows)
+                held.append(batch.slice(0, take))
+                batch, size = batch.slice(take), int(upto[take - 1])
+                if size >= limit:
+                    yield closed(held, block, size)
+                    block, held, size = block + 1, [], 0
+        if held:
+            yield closed(held, block, size)
+
+    table = materialize(docs.mapInArrow(deal, "block long, size long, data binary"), name, ROW_GROUP)
+    size = table.agg(F.sum("size").alias("n")).first()["n"] or 0
+    return Blocks(table, max(partitions(spark), SHARDS_A_BLOCK * -(-size // limit)))
 
 
 def sent(block: int, kind: int, keys: np.ndarray, counts: np.ndarray, shards: int) -> pa.Table:
@@ -48,20 +101,22 @@ def sent(block: int, kind: int, keys: np.ndarray, counts: np.ndarray, shards: in
     owner = shard_of(keys, shards)
     cuts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1], True]) if len(keys) else np.zeros(1, np.int64)
     rows = owner[cuts[:-1]].tolist()
-    part = lambda x, form: pa.array([form(x[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())
-    return pa.table({"block": pa.array([block] * len(rows), pa.int32()), "kind": pa.array([kind] * len(rows), pa.int32()), "shard": pa.array(rows, pa.int32()), "keys": part(keys, squeezed), "counts": part(counts.astype(np.uint32), np.ndarray.tobytes)})
-
-
-def squeezed(keys: np.ndarray) -> bytes:
-    """Sorted keys as their differences, the bytes of one place side by side: most high bytes are zero and compress."""
+    part = lambda x: pa.array([squeezed(x[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())
     steps = keys.copy()
     steps[1:] -= keys[:-1]
-    return steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+    steps[cuts[:-1]] = keys[cuts[:-1]]
+    return pa.table({"block": pa.array([block] * len(rows), pa.int64()), "kind": pa.array([kind] * len(rows), pa.int32()), "shard": pa.array(rows, pa.int32()), "n": pa.array(np.diff(cuts).astype(np.int32)), "keys": part(steps), "counts": part(counts.astype(np.uint32))})
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    """Numbers with the bytes of one place side by side, compressed: most high bytes are zero."""
+    return pa.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), codec="zstd", asbytes=True)
 
 
-def restored(data: bytes) -> np.ndarray:
-    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
-    return np.cumsum(steps, dtype=np.uint64)
+def restored(data: bytes, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = pa.decompress(data, decompressed_size=n * size, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -70,7 +125,7 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def totals(rows: DataFrame) -> DataFrame:
-    """Answers to what the blocks sent.  n_keys and n_total (keys with a total above 0, and their sum) stand once for each kind and task."""
+    """Answers to what the blocks sent.  n_keys, n_total and most (keys with a total above 0, their sum and the largest) stand once for each kind and task."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups_of(batches, "shard"):
@@ -79,21 +134,20 @@ def totals(rows: DataFrame) -> DataFrame:
                 yield from answer(table.take(pa.array(np.flatnonzero(kinds == kind)))).to_batches()
 
     def answer(some: pa.Table) -> pa.Table:
-        parts = [restored(x) for x in some["keys"].to_pylist()]
-        lengths = np.array([len(x) for x in parts])
-        keys = np.concatenate(parts)
+        lengths = some["n"].to_numpy()
+        keys = np.concatenate([np.cumsum(restored(x, n, np.uint64), dtype=np.uint64) for x, n in zip(some["keys"].to_pylist(), lengths, strict=True)])
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
         heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        del parts, keys
-        sums = np.add.reduceat(np.frombuffer(b"".join(some["counts"].to_pylist()), np.uint32)[order], heads, dtype=np.uint64)
+        del keys
+        counts = np.concatenate([restored(x, n, np.uint32) for x, n in zip(some["counts"].to_pylist(), lengths, strict=True)])
+        sums = np.add.reduceat(counts[order], heads, dtype=np.uint64)
         found = np.empty(len(order), np.uint64)
         found[order] = np.repeat(sums, np.diff(np.r_[heads, len(order)]))
         ends = np.cumsum(lengths)
-        first = np.zeros(len(lengths), np.int64)
-        first[0] = 1
-        binary = pa.array([found[e - n : e].tobytes() for e, n in zip(ends, lengths, strict=True)], pa.binary())
-        return pa.table({"block": some["block"], "kind": some["kind"], "shard": some["shard"], "totals": binary, "n_keys": pa.array(first * int((sums > 0).sum())), "n_total": pa.array(first * int(sums.sum()))})
+        once = lambda x: pa.array([int(x)] + [0] * (len(lengths) - 1), pa.int64())
+        binary = pa.array([squeezed(found[e - n : e]) for e, n in zip(ends, lengths, strict=True)], pa.binary())
+        return pa.table({"block": some["block"], "kind": some["kind"], "shard": some["shard"], "n": some["n"], "totals": binary, "n_keys": once((sums > 0).sum()), "n_total": once(sums.sum()), "most": once(sums.max())})
 
     # A task goes through its shards one after another, so it holds one at a time.
     return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(add, ANSWER)
@@ -102,4 +156,5 @@ def totals(rows: DataFrame) -> DataFrame:
 def answered(table: pa.Table, kind: int) -> np.ndarray:
     """The totals of a block's keys of one kind, in the order of its sorted keys."""
     some = table.filter(pa.compute.equal(table["kind"], kind)).sort_by("shard")
-    return np.frombuffer(b"".join(some["totals"].to_pylist()), np.uint64)
+    parts = [restored(x, n, np.uint64) for x, n in zip(some["totals"].to_pylist(), some["n"].to_pylist(), strict=True)]
+    return np.concatenate([np.empty(0, np.uint64), *parts])

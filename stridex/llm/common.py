@@ -28,18 +28,20 @@ CACHE_ENTRIES = 500_000
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back, which cuts its lineage.
 
-    The files outlive any executor, and a stage that is run again reads the same rows.
+    The files outlive any executor, and a stage that is run again reads the same rows.  They go with
+    the folder when Python ends, or earlier by ``discard``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stridex-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     # The shuffle files of this write go with it, rather than when the driver next collects garbage.
     before = spark.conf.get(SHUFFLE_CLEANUP, None)
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        writer = df.write.option("compression", "zstd")
+        (writer.option("parquet.block.size", str(row_group)) if row_group else writer).parquet(path)
     finally:
         spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

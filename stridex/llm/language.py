@@ -12,8 +12,10 @@ contexts need; blocks of documents ask the shards for the bits of their distinct
 gives the same model in one piece, for training texts that are few.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0, as is any text when
-nothing was learned; null languages are not learned; repeated rows count and score each; other
-columns are ignored.
+nothing was learned; null languages are not learned; repeated rows count and score each; equal code
+lengths go to the smaller name; an empty table gives no rows; a very long text is read in parts of
+``CHUNK`` bytes, each with the three bytes before it, so its counts and bits are those of the whole;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridex.llm.blocks import BLOCK, block_count, shard_count, with_block
+from stridex.llm.blocks import in_blocks
 from stridex.llm.common import fold, held_out, materialize, release_shuffles, small_batches
 
 ORDER = 3
@@ -38,24 +40,31 @@ _LETTER = re.compile(r"[^\W\d_]")
 _PAD = b"\0" * ORDER
 
 
-def codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Every byte with the three before it as one 32-bit number, and where each text starts; pads have a low byte of 0."""
-    data = np.frombuffer(b"".join(part for t in texts for part in (_PAD, t.replace(b"\0", b"\1"))), np.uint8).astype(np.uint32)
+def codes(texts: list[bytes], before: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Every byte with the three before it as one 32-bit number, and where each text starts with what is before it; what is before has a low byte of 0."""
+    before = before or [_PAD] * len(texts)
+    data = np.frombuffer(b"".join(part for b, t in zip(before, texts, strict=True) for part in (b, t.replace(b"\0", b"\1"))), np.uint8).astype(np.uint32)
     out = data.copy()
     for k in range(1, ORDER + 1):
         out[k:] |= data[:-k] << np.uint32(8 * k)
     starts = np.cumsum([0, *(len(t) + ORDER for t in texts)])[:-1]
+    for k in range(ORDER):
+        out[starts + k] = 0
     return out, starts
 
 
-def chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of texts of about CHUNK bytes, with the index of the first."""
-    first, size = 0, 0
+def chunks(texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes], list[bytes]]]:
+    """Texts, longer ones in parts, in runs of CHUNK to twice as many bytes: the number of each part's text, the part, and the bytes before it."""
+    owner, parts, before, size = [], [], [], 0
     for k, t in enumerate(texts):
-        size += len(t)
-        if size >= CHUNK or k == len(texts) - 1:
-            yield first, texts[first : k + 1]
-            first, size = k + 1, 0
+        for at in range(0, max(len(t), 1), CHUNK):
+            owner.append(k), parts.append(t[at : at + CHUNK]), before.append(t[at - ORDER : at].replace(b"\0", b"\1") if at else _PAD)
+            size += len(parts[-1])
+            if size >= CHUNK:
+                yield owner, parts, before
+                owner, parts, before, size = [], [], [], 0
+    if owner:
+        yield owner, parts, before
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,8 +83,8 @@ def count_contexts(docs: DataFrame) -> DataFrame:
             for text, lang in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 by_lang.setdefault(lang, []).append(text)
             for lang, texts in by_lang.items():
-                for _, some in chunks(texts):
-                    c = codes(some)[0]
+                for _, *some in chunks(texts):
+                    c = codes(*some)[0]
                     held.setdefault(lang, []).append(np.unique(c[(c & np.uint32(255)) != 0], return_counts=True))
                 parts = held[lang]
                 if len(parts) > 8:
@@ -141,8 +150,8 @@ class Model:
     def totals(self, texts: list[bytes]) -> np.ndarray:
         """log2 probability of each whole text under each language."""
         out = np.zeros((len(texts), len(self.langs)))
-        for first, some in chunks(texts):
-            c, starts = codes(some)
+        for owner, *some in chunks(texts):
+            c, starts = codes(*some)
             at, hit = _find(self.keys, c)
             pads = (c & np.uint32(255)) == 0
             at[pads] = len(self.keys)
@@ -150,7 +159,7 @@ class Model:
             new = np.flatnonzero(~hit & ~pads)
             if len(new):
                 bits[new] = np.stack([t.log2(c[new]) for t in self.trees], 1)
-            out[first : first + len(some)] = np.add.reduceat(bits, starts, axis=0, dtype=np.float64)
+            np.add.at(out, owner, np.add.reduceat(bits, starts, axis=0, dtype=np.float64))
         return out
 
 
@@ -188,7 +197,7 @@ def predicted(m: Model, batch: pa.RecordBatch | pa.Table) -> dict[str, pa.Array]
 
 def flagged(docs: DataFrame) -> tuple[DataFrame, str]:
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out("doc_id", FOLDS, 0).alias("held_out"), "text"), f"doc_id {id_type}, held_out boolean, lang_pred string, score double"
+    return docs.select("doc_id", held_out("doc_id", FOLDS, 0).alias("held_out"), F.col("text").cast("string")), f"doc_id {id_type}, held_out boolean, lang_pred string, score double"
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -214,12 +223,12 @@ def learn_and_identify(docs: DataFrame, training: DataFrame) -> DataFrame:
     langs = sorted(low)
     shared = spark.sparkContext.broadcast(low)
     rows, schema = flagged(docs)
-    blocks = block_count(rows)
-    dealt, shards = with_block(rows, blocks), shard_count(blocks)
+    blocks = in_blocks(rows, "language-blocks")
+    shards = blocks.shards
 
-    def send(some: pa.Table) -> pa.Table:
+    def send(block: int, some: pa.Table) -> pa.Table:
         texts = some["text"].cast(pa.binary()).drop_null().to_pylist()
-        parts = [np.unique(c[(c & np.uint32(255)) != 0]) for c in (codes(x)[0] for _, x in chunks(texts))]
+        parts = [np.unique(c[(c & np.uint32(255)) != 0]) for c in (codes(*some)[0] for _, *some in chunks(texts))]
         keys = np.unique(np.concatenate([np.empty(0, np.uint32), *parts]))
         # The last two bytes of the context, scrambled; as in ``owned``.
         owner = (((keys >> np.uint32(8) & np.uint32(0xFFFF)).astype(np.int64) * 40503) & 0xFFFF) % shards
@@ -227,29 +236,29 @@ def learn_and_identify(docs: DataFrame, training: DataFrame) -> DataFrame:
         keys, owner = keys[order], owner[order]
         cuts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1], True]) if len(keys) else np.zeros(1, np.int64)
         packets = [keys[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
-        return pa.table({"block": pa.array([some[BLOCK][0].as_py()] * len(packets), pa.int32()), "shard": pa.array(owner[cuts[:-1]], pa.int32()), "keys": pa.array(packets, pa.binary())})
+        return pa.table({"block": pa.array([block] * len(packets), pa.int64()), "shard": pa.array(owner[cuts[:-1]], pa.int32()), "keys": pa.array(packets, pa.binary())})
 
     def answer(asked: pa.Table, own: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x, np.uint32) for x in asked["keys"].to_pylist()]
         if not parts:
-            return pa.table({"block": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "bits": pa.array([], pa.binary())})
+            return pa.table({"block": pa.array([], pa.int64()), "keys": pa.array([], pa.binary()), "bits": pa.array([], pa.binary())})
         wanted, back = np.unique(np.concatenate(parts), return_inverse=True)
         entries, none = by_language(own.to_pandas()), (np.empty(0, np.uint32), np.empty(0, np.int64))
         bits = np.stack([Tree(*entries.get(x, none), shared.value[x]).log2(wanted) for x in langs], 1).astype(np.float32)
         ends = np.cumsum([len(x) for x in parts])
         return pa.table({"block": asked["block"], "keys": asked["keys"], "bits": pa.array([bits[back[e - len(x) : e]].tobytes() for e, x in zip(ends, parts, strict=True)], pa.binary())})
 
-    def predict(some: pa.Table, got: pa.Table) -> pa.Table:
+    def predict(_: int, some: pa.Table, got: pa.Table) -> pa.Table:
         keys = np.frombuffer(b"".join(got["keys"].to_pylist()), np.uint32)
         bits = np.frombuffer(b"".join(got["bits"].to_pylist()), np.float32).reshape(-1, len(langs))
         order = np.argsort(keys)
         return pa.table(predicted(Model.of_codes(langs, keys[order], bits[order]), some.combine_chunks()))
 
-    asked = dealt.groupBy(BLOCK).applyInArrow(send, "block int, shard int, keys binary")
+    asked = blocks.each(send, "block long, shard int, keys binary")
     owned = table.withColumn("shard", (F.shiftright("code", 8).bitwiseAND(F.lit(0xFFFF)) * 40503).bitwiseAND(F.lit(0xFFFF)) % shards).withColumn("shard", F.col("shard").cast("int"))
-    answers = materialize(asked.groupBy("shard").cogroup(owned.groupBy("shard")).applyInArrow(answer, "block int, keys binary, bits binary"), "bits")
+    answers = materialize(asked.groupBy("shard").cogroup(owned.groupBy("shard")).applyInArrow(answer, "block long, keys binary, bits binary"), "bits")
     release_shuffles(spark)
-    return dealt.groupBy(BLOCK).cogroup(answers.groupBy("block")).applyInArrow(predict, schema)
+    return blocks.told(answers, predict, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,7 +50,7 @@ def words(text):
 
 def clashing(df):
     """More columns, with names that the operators use inside."""
-    extra = {c: F.lit(1) for c in ("block", "row", "key", "rep", "comp", "score", "kept", "pos", "shard", "id", "a", "b", "n_tokens", "copies", "host")}
+    extra = {c: F.lit(1) for c in ("block", "row", "key", "rep", "comp", "score", "kept", "pos", "shard", "id", "a", "b", "n_tokens", "copies", "host", "__block", "__had", "__copies", "__copy", "__id", "__source", "__doc", "__c", "__host", "__rejected", "data", "size")}
     return df.withColumns(extra)
 
 
@@ -270,7 +270,7 @@ def test_language_keeps_small_languages(spark, tmp_path):
 
 
 def test_language_in_shards_equals_one_piece(docs, monkeypatch):
-    monkeypatch.setattr("stridex.llm.language.block_count", lambda rows: 7)
+    monkeypatch.setattr("stridex.llm.blocks.BLOCK_BYTES", 10_000)
     whole = language.identify(docs, language.train(docs))
     parts = language.learn_and_identify(clashing(docs), docs)
     assert sorted(map(repr, parts.collect())) == sorted(map(repr, whole.collect()))
@@ -391,30 +391,67 @@ def test_mixing_meets_budgets(spark, empty):
 # 7
 
 
-def test_lm_scores_equal_brute_force(docs, empty):
-    rows = made_docs()
+def brute_scores(rows, mass):
+    """Per id the contract's counts, and base and model scores by the formula, without any automaton."""
     train = [r for r in rows if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 != 2]
-    streams = lambda t: [w.lower() for w in words(t)] + ["END"]
-    single, double = Counter(), Counter()
+    stream = lambda t: ["BEGIN", *(w.lower() for w in words(t)), "END"]
+    grams = Counter()
     for r in train:
-        s = streams(r[1])
-        single.update(s)
-        double.update(zip(["BEGIN", *s], s, strict=False))
-    single["BEGIN"] = len(train)
-    n, v = sum(single.values()) - len(train), len(single) - 1
-    got = collected(lm_score.score_documents(clashing(docs)))
+        s = stream(r[1])
+        for k in range(1, len(s)):
+            for size in (1, 2, 3):
+                if k - size + 1 >= 0:
+                    grams[tuple(s[k - size + 1 : k + 1])] += 1
+    n, v = sum(c for g, c in grams.items() if len(g) == 1), sum(len(g) == 1 for g in grams)
+    followed = Counter()
+    for g, c in grams.items():
+        followed[g[:-1]] += c
+    p1 = lambda w: (grams[w,] + 1) / (n + v + 1)
+    p2 = lambda h, w: (grams[h, w] + mass[0] * p1(w)) / (followed[h,] + mass[0])
+    p3 = lambda g, h, w: (grams[g, h, w] + mass[1] * p2(h, w)) / (followed[g, h] + mass[1])
+    found = {}
     for i, text, *_ in rows:
-        if i is None:
-            continue
-        s, r = streams(text), got[i]
-        base = [(single[w] + 1) / (n + 1 * (v + 1)) for w in s]
-        model = [(double[h, w] + lm_score.MU * p) / (single[h] + lm_score.MU) for h, w, p in zip(["BEGIN", *s], s, base, strict=False)]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(s), sum(single[w] > 0 for w in s), n)
-        assert r.base_score == pytest.approx(sum(map(math.log10, base))) and r.score == pytest.approx(sum(map(math.log10, model)))
-        assert r.held_out == (zlib.crc32(str(i).encode()) % 7 == 2)
+        s = stream(text)
+        model = [p2(*s[:2]), *(p3(*s[k - 2 : k + 1]) for k in range(2, len(s)))]
+        found[i] = len(s) - 1, sum(grams[w,] > 0 for w in s[1:]), n, sum(math.log10(p1(w)) for w in s[1:]), sum(map(math.log10, model))
+    return found
+
+
+@pytest.mark.parametrize(("stretch", "block_bytes"), [(512, 10_000_000), (3, 5_000)])
+def test_lm_scores_equal_brute_force(docs, empty, monkeypatch, stretch, block_bytes):
+    """With short stretches and small blocks as with long ones."""
+    monkeypatch.setattr("stridex.llm.blocks.BLOCK_BYTES", block_bytes)
+    read = lm_score.Automaton.read
+    monkeypatch.setattr(lm_score.Automaton, "read", lambda self, s: read(self, s, stretch))
+    got = collected(lm_score.score_documents(clashing(docs)))
+    for i, expected in brute_scores(made_docs(), lm_score.MASS).items():
+        if i is not None:
+            r = got[i]
+            assert (r.n_tokens, r.n_known, r.train_tokens) == expected[:3]
+            assert r.base_score == pytest.approx(expected[3]) and r.score == pytest.approx(expected[4])
+            assert r.held_out == (zlib.crc32(str(i).encode()) % 7 == 2)
     assert lm_score.score_documents(empty).count() == 0
 
 
+def test_lm_probabilities_sum_to_one():
+    texts = [b"a b a c", b"a b b", b"", b"c a b"]
+    s = lm_score.Streams(texts)
+    counts = [np.unique(x, return_counts=True)[1] for x in (s.tokens, s.pairs, s.triples)]
+    model = lm_score.Automaton(s, counts, len(counts[0]), len(s.tokens), lm_score.MASS)
+    end = 1 + model.word[s.sizes[0] - 1]
+    for state in range(len(model.fail)):
+        if end in (state, model.fail[state]):
+            continue  # nothing is read after the end
+        every = np.arange(len(model.root))
+        log = model.step(np.full(len(every), state), every)[1]
+        # One class of unknown words has what is left.
+        unknown = 1 / (len(s.tokens) + len(every) + 1)
+        at = state
+        while at:
+            unknown, at = unknown * 10 ** model.weight[at], model.fail[at]
+        assert (10**log).sum() + unknown == pytest.approx(1)
+
+
 # 8
 
 
@@ -449,9 +486,11 @@ def brute_removed(rows, window):
     return found
 
 
-@pytest.mark.parametrize(("window", "prefix", "hot"), [(20, 8, 20_000), (20, 8, 1), (12, 12, 20_000), (9, 4, 3), (50, 8, 20_000)])
-def test_substrings_equal_brute_force(docs, monkeypatch, window, prefix, hot):
+@pytest.mark.parametrize(("window", "prefix", "hot", "block_bytes"), [(20, 8, 20_000, 10_000_000), (20, 8, 1, 2_000), (12, 12, 20_000, 10_000_000), (9, 4, 3, 20_000), (50, 8, 20_000, 2_000)])
+def test_substrings_equal_brute_force(docs, monkeypatch, window, prefix, hot, block_bytes):
+    """Also where most prefixes are hot and have to grow, and where documents lie in many blocks."""
     monkeypatch.setattr(substrings, "GROUP_ROWS", hot)
+    monkeypatch.setattr("stridex.llm.blocks.BLOCK_BYTES", block_bytes)
     got = collected(substrings.digest(clashing(docs), window, prefix))
     assert {k: (r.n_words, r.n_removed, r.kept_sha256) for k, r in got.items()} == brute_removed(made_docs(), window)
 
@@ -462,6 +501,8 @@ def test_substring_removal_keeps_layout_and_columns(spark, docs, empty):
     got = {r.doc_id: r for r in substrings.stage(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
     assert got[1].text == f"one\n{passage} tail" and got[2].text == "two  end\n" and got[2].n_chars == 9
     assert 3 not in got and got[4].text is None
+    spans = substrings.passages(spark.createDataFrame(rows, SCHEMA)).orderBy("doc_id").collect()
+    assert [tuple(r) for r in spans] == [(2, 1, 60), (3, 0, 60)]
     kept = substrings.remove(clashing(docs))
     assert kept.columns == clashing(docs).columns and kept.count() == docs.count()
     assert substrings.digest(empty).count() == 0
