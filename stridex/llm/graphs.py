@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from stridex.llm.common import discard, materialize
 
+#: Parts that the rows of one label are dealt into.
+SALTS = 16
+
 
 def components(links: DataFrame) -> DataFrame:
     """``id, comp`` for every id in links ``a, b``: comp is the smallest id reachable.
@@ -21,8 +24,11 @@ def components(links: DataFrame) -> DataFrame:
     while before is not None:
         near = both.join(labels, both.b == labels.id).groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
         lower = labels.join(near, "id", "left").select("id", F.least("comp", "near").alias("comp"))
-        jump = labels.select(F.col("id").alias("comp"), F.col("comp").alias("further"))
-        new = materialize(lower.join(jump, "comp", "left").select("id", F.least("comp", "further").alias("comp")), "labels")
+        # Labels of labels only, each for every salt, as a giant component has one label for all its ids.
+        wanted = lower.select(F.col("comp").alias("id")).distinct()
+        jump = labels.join(wanted, "id", "left_semi").select(F.col("id").alias("comp"), F.col("comp").alias("further"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        salted = lower.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        new = materialize(salted.join(jump, ["comp", "salt"], "left").select("id", F.least("comp", "further").alias("comp")), "labels")
         after = total(new)
         discard(labels)
         labels = new

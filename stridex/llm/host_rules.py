@@ -5,8 +5,9 @@ summed by host (``source``); each rule's rates get a beta prior fitted to all ho
 a host whose shrunk rate exceeds a rule's limit is rejected with all of its documents.
 
 Defined cases: a null text has no words, so it fails the base rule; a null host is judged by the
-base rule alone; repeated rows count each time; an empty table gives an empty result; other columns
-pass through untouched (the count columns replace columns of the same name).
+base rule alone; repeated rows count each time; a rate on a limit does not reject; an empty table
+gives an empty result; a very long text is judged whole, its words and windows in one row's arrays;
+other columns pass through untouched (the count columns replace columns of the same name).
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stridex.llm.common import materialize
+from stridex.operators.tiles import fresh
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 5
@@ -72,17 +74,18 @@ def counts(text: str = "text") -> Column:
 
 def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the counts and ``base_failed``."""
-    out = docs.withColumn("__c", counts(text))
+    c, = fresh([*docs.columns, *COUNTS], "c")
+    out = docs.withColumn(c, counts(text))
     out = out.withColumns(
         {
-            "n_words": F.col("__c.w.n_words"),
-            "word_chars": F.col("__c.c"),
-            "n_symbols": F.col("__c.s"),
-            "n_dup_lines": F.col("__c.l.n_dup_lines"),
-            "n_lines": F.col("__c.l.n_lines"),
-            "n_repeat_words": F.col("__c.w.n_repeat_words"),
+            "n_words": F.col(f"{c}.w.n_words"),
+            "word_chars": F.col(f"{c}.c"),
+            "n_symbols": F.col(f"{c}.s"),
+            "n_dup_lines": F.col(f"{c}.l.n_dup_lines"),
+            "n_lines": F.col(f"{c}.l.n_lines"),
+            "n_repeat_words": F.col(f"{c}.w.n_repeat_words"),
         }
-    ).drop("__c")
+    ).drop(c)
     return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
@@ -126,11 +129,12 @@ def host_verdicts(counted: DataFrame, host: str = "source") -> DataFrame:
 
 def judge(counted: DataFrame, hosts: DataFrame, host: str = "source") -> DataFrame:
     """``counted`` with ``host_rejected`` and ``kept``."""
-    verdicts = hosts.where("host_rejected").select(F.col("host").alias("__host"), F.lit(True).alias("__rejected"))
+    name, mark = fresh([*counted.columns, host], "host", "rejected")
+    verdicts = hosts.where("host_rejected").select(F.col("host").alias(name), F.lit(True).alias(mark))
     if hosts.where("host_rejected").limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
         verdicts = F.broadcast(verdicts)
-    out = counted.join(verdicts, F.col(host) == F.col("__host"), "left")
-    out = out.withColumn("host_rejected", F.coalesce("__rejected", F.lit(False))).drop("__host", "__rejected")
+    out = counted.join(verdicts, F.col(host) == F.col(name), "left")
+    out = out.withColumn("host_rejected", F.coalesce(mark, F.lit(False))).drop(name, mark)
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
@@ -141,11 +145,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rules keep, with the columns they came with.  Counts are taken once for the hosts and once for the verdicts, so no text is shuffled."""
-    counted = with_counts(docs.select("source", "text"))
-    hosts = host_verdicts(counted.drop("text"))
-    tagged = docs.select(F.struct(*docs.columns).alias("__doc"), F.col("source").alias("source"), F.col("text").alias("text"))
-    return judge(with_counts(tagged), hosts).where("kept").select("__doc.*")
+    """The documents that the rules keep, with the columns they came with, whatever their names.
+
+    Counts are taken once and written with the documents, so that neither hosts nor verdicts take
+    them again and no text is shuffled.  Cases are as above.
+    """
+    tagged = docs.select(F.struct(*docs.columns).alias("doc"), F.col("source").alias("host"), F.col("text").alias("words"))
+    counted = materialize(with_counts(tagged, "words").drop("words"), "counted")
+    return judge(counted, host_verdicts(counted, "host"), "host").where("kept").select("doc.*")
 
 
 ORACLE = r"""

@@ -15,8 +15,10 @@ counts, nothing is compared within a component, and pairs that are not close bec
 A link of similarity exactly 0.8 shares no band with odds of 3e-6, of 0.85 with 2e-9.
 Shingles are told apart by 64-bit hashes.  Defined cases: a null or wordless text has an empty set
 and is linked with nothing; fewer words than a shingle make one shingle; rows that repeat a doc_id
-are one document; a null doc_id is linked with nothing, has a null component and is kept; an empty
-table gives no rows; other columns are ignored.
+are one document: their sets are linked, whatever the texts, though n_shingles is each row's own; a
+wordless row of such an id stands for itself; a null doc_id is linked with nothing, has a null
+component and is kept; a similarity of exactly the threshold is a link; an empty table gives no rows;
+a very long text is read whole, at some 60 bytes a word; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -93,7 +95,7 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
                 s = shingle_set(text, size, hashes)
                 n.append(len(s))
                 m = minima(s) if len(s) else None
-                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                keys.append(digest(s) if len(s) else None)
                 low.append(None if m is None else packed(m).view(np.int64))
                 all_bands.append(None if m is None else bands(m).view(np.int64))
             longs = pa.list_(pa.int64())
@@ -111,19 +113,42 @@ def estimate(x: Column, y: Column) -> Column:
     return (equal - chance) / (1 - chance)
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """id, s: the full sets of the documents in ``ids``, written down."""
+def digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """id, s: the full sets of the documents in ``wanted`` (doc_id, set_key, id), written down."""
     small_batches(docs.sparkSession)
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in batches:
-            sets = [shingle_set(t, size, hashes).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"id": batch.column("doc_id"), "s": pa.array(sets, pa.binary())})
+            sets = [shingle_set(t, size, hashes) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            # Of an id with several texts, the one that is meant.
+            meant = [digest(s) == k for s, k in zip(sets, batch.column("set_key").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "s": pa.array([s.tobytes() for s in sets], pa.binary())}).filter(pa.array(meant))
 
     # A shuffled join at any size, as the ids grow with the documents.
-    wanted = docs.select(F.col("doc_id").cast("long"), "text").join(ids.distinct().hint("shuffle_hash"), "doc_id", "left_semi")
-    return materialize(wanted.mapInArrow(to_sets, "id long, s binary"), "sets")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(wanted.hint("shuffle_hash"), "doc_id").select("id", "set_key", "text")
+    return materialize(rows.mapInArrow(to_sets, "id long, s binary"), "sets")
+
+
+def nodes_of(sketches: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Documents with a set, and their node; and, if there are any, ties (id, node) of ids that have several sets.
+
+    A node is the id itself, but for further sets of an id: those get numbers from the top of the
+    64-bit range down, tied to the id, so the smallest node of a component is always an id.
+    """
+    usable = sketches.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
+    split = usable.groupBy("doc_id").agg(F.min("set_key").alias("first"), F.max("set_key").alias("last")).where("first < last").select("doc_id", "first")
+    split = materialize(split, "split")
+    if split.isEmpty():
+        return usable.withColumn("node", F.col("doc_id")), None
+    further = usable.select("doc_id", "set_key").distinct().join(split, "doc_id").where("set_key > first").select("doc_id", "set_key")
+    ties = materialize(further.withColumn("other", F.lit((1 << 63) - 1) - F.monotonically_increasing_id()), "ties")
+    met = usable.join(ties.withColumnRenamed("doc_id", "d").withColumnRenamed("set_key", "k"), (F.col("doc_id") == F.col("d")) & (F.col("set_key") == F.col("k")), "left")
+    return met.withColumn("node", F.coalesce("other", "doc_id")).drop("d", "k", "other"), ties.select(F.col("doc_id").alias("a"), F.col("other").alias("b"))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -230,16 +255,17 @@ def near_duplicates(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
     sketches = materialize(sketch(docs, size), "sketches")
-    usable = sketches.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
-    classes = materialize(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = usable.join(classes, (usable.set_key == classes.set_key) & (usable.doc_id == classes.rep)).select("rep", "low", "bands")
-    reps = materialize(reps, "reps")
+    usable, ties = nodes_of(sketches)
+    classes = materialize(usable.groupBy("set_key").agg(F.min("node").alias("rep")), "classes")
+    reps = usable.join(classes, (usable.set_key == classes.set_key) & (usable.node == classes.rep)).select("rep", "doc_id", usable.set_key, "low", "bands")
+    # Rows that repeat a document are one.
+    reps = materialize(reps.dropDuplicates(["rep"]), "reps")
     postings = reps.select("rep", F.explode("bands").alias("key"))
     centres = postings.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre < last").drop("last")
     # Only buckets that two classes share, with the smallest id of each.
     shared = materialize(postings.join(centres, "key"), "shared")
     release_shuffles(spark)
-    low = reps.select("rep", "low").dropDuplicates(["rep"])
+    low = reps.select("rep", "low")
 
     def estimated(pairs: DataFrame) -> DataFrame:
         with_a = pairs.join(low.select(F.col("rep").alias("a"), F.col("low").alias("low_a")), "a")
@@ -253,16 +279,22 @@ def near_duplicates(docs: DataFrame, size: int) -> DataFrame:
         return pairs.withColumn("rank", rank).where(F.col("rank") <= partners).select("a", "b")
 
     stars = shared.where("rep > centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    sets = sets_of(docs, shared.select(F.col("rep").alias("doc_id")), size)
+    sets = sets_of(docs, reps.join(shared.select("rep").distinct(), "rep", "left_semi").select("doc_id", "set_key", F.col("rep").alias("id")), size)
     release_shuffles(spark)
     checked = confirm(materialize(best(estimated(stars), "b", 1), "stars"), sets)
-    comp = components(checked.where("linked"))
+    linked = checked.where("linked").select("a", "b")
+    if ties is not None:
+        # An id's sets are one document: its classes are linked, whatever their texts.
+        reps_of = lambda end, name: usable.select(F.col("node").alias(end), "set_key").distinct().join(classes, "set_key").select(end, F.col("rep").alias(name))
+        other = ties.join(reps_of("a", "x"), "a").join(reps_of("b", "y"), "b")
+        linked = linked.unionByName(other.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    comp = components(linked)
     named = shared.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
     several = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
     # Only buckets with members of several components.
     members = materialize(named.join(several, "key", "left_semi"), "open")
     some = members.select(F.col("rep").alias("id")).distinct()
-    fine = finer(sets.join(some, "id", "left_semi")).join(reps.select("rep", "bands").dropDuplicates(["rep"]), "rep")
+    fine = finer(sets.join(some, "id", "left_semi")).join(reps.select("rep", "bands"), "rep")
     # Some were refuted as stars; confirming those few again is less than finding them here.
     left = close_pairs(members, fine)
     discard(members)
@@ -287,10 +319,10 @@ def near_duplicates(docs: DataFrame, size: int) -> DataFrame:
         closest_only = 2 * n_joined >= tried.count()
         left = materialize(apart, "left")
     discard(sets)
-    by_set = sketches.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
-    placed = by_set.join(comp, by_set.rep == comp.id, "left")
+    placed = sketches.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
+    placed = placed.join(comp, placed.rep == comp.id, "left")
     id_type = docs.schema["doc_id"].dataType
-    found = F.coalesce("comp", "rep", "doc_id")
+    found = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep", "doc_id"))
     return placed.select(F.col("doc_id").cast(id_type), "n_shingles", found.cast(id_type).alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept"))
 
 
@@ -321,6 +353,10 @@ STAGE_SHINGLE = 5
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without those that a smaller id of their group stands for."""
+    """The documents without those that a smaller id of their group stands for.
+
+    Cases are as above: wordless documents and null ids stay, all rows of an id stay or go together,
+    and all columns pass through.
+    """
     dropped = near_duplicates(docs, STAGE_SHINGLE).where("NOT kept").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)

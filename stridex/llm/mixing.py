@@ -8,11 +8,15 @@ interval, with sums over the source table taken by Spark.
 A source's budget is its weight times all tokens to be realised.  Whole multiples of the source are
 full passes; the rest comes from the source's blocks (documents by a hash of their id) in a permuted
 order, whole blocks while they fit and then documents of the next block in a permuted order while
-they fit.  So a source misses its budget by less than one document of that block.
+they fit.  So a source misses its budget by less than one document of that block.  A pass reads the
+blocks in that order: each document comes with its ``block``, the block's place in the permutation
+(``block_rank``) and a number that orders the documents within the block (``order_key``).
 
 Tokens are words.  Defined cases: a null source is a source of its own; a null or empty text has no
 tokens and follows its block; rows with one id and source count as one document and get the same
-number of copies; an empty table gives no rows; other columns pass through ``realise`` untouched.
+number of copies; ties of hashes go to the smaller block and id; an empty table gives no rows; a very
+long text is one document, never cut; other columns pass through ``realise`` untouched, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -23,15 +27,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stridex.llm.common import materialize, release_shuffles
+from stridex.operators.tiles import fresh
 
 #: Share of the greatest possible entropy, log of the number of sources, to reach.
 TARGET_ENTROPY = 0.9
 REPEAT_LIMIT = 2.0
 #: Tokens to realise, as a share of all tokens.
 BUDGET = 1.0
+#: Tokens in a block.  The blocks of one source, a row each, are put in order by one task.
 BLOCK_TOKENS = 100_000
-#: A source has at most so many blocks; they are larger in larger sources.
-MAX_BLOCKS = 1 << 16
 SEED = 17
 #: Source tables up to this number of rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_SOURCES = 50_000
@@ -82,12 +86,12 @@ def weigh(units: DataFrame, target_entropy: float = TARGET_ENTROPY, repeats: flo
     goal = F.col("weight") * F.lit(float(total) * budget)
     passes = F.when(F.col("tokens") > 0, F.floor(goal / F.col("tokens") + 1e-9)).otherwise(F.lit(1)).cast("long")
     rest = F.greatest(F.lit(0.0), goal - F.col("passes") * F.col("tokens"))
-    blocks = F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("tokens") / BLOCK_TOKENS))).cast("long")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("long")
     return weighed.withColumn("passes", passes).select("source", "tokens", "weight", "passes", rest.alias("rest"), blocks.alias("blocks"))
 
 
 def mix(units: DataFrame, **parameters) -> DataFrame:
-    """doc_id, source, n_tokens, weight, block, copies, one row per id and source, from a table (doc_id, source, n_tokens) that is cheap to read again."""
+    """doc_id, source, n_tokens, weight, block, block_rank, order_key, copies, one row per id and source, from a table (doc_id, source, n_tokens)."""
     units = materialize(units.groupBy("doc_id", "source").agg(F.sum("n_tokens").alias("n_tokens")), "units")
     sources = materialize(weigh(units, **parameters), "weights")
     small = sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
@@ -96,14 +100,18 @@ def mix(units: DataFrame, **parameters) -> DataFrame:
     dealt = units.join(table, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("block", block)
     sums = dealt.groupBy("source", "block").agg(F.sum("n_tokens").alias("size"), F.first("rest").alias("limit"))
     order = Window.partitionBy("source").orderBy(F.xxhash64("source", "block", F.lit(SEED)), "block").rowsBetween(Window.unboundedPreceding, 0)
-    # A source has a bounded number of blocks, so this window never holds a source's documents.
-    taken = sums.withColumn("upto", F.sum("size").over(order)).select(F.col("source").alias("s"), F.col("block").alias("b"), (F.col("limit") - (F.col("upto") - F.col("size"))).alias("room"), (F.col("upto") <= F.col("limit")).alias("whole")).where("room > 0")
-    placed = materialize(dealt.join(taken, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left").drop("s", "b"), "placed")
+    # One row a block: this window never holds a source's documents.
+    ranked = sums.withColumns({"upto": F.sum("size").over(order), "rank": F.count(F.lit(1)).over(order) - 1})
+    room = F.col("limit") - (F.col("upto") - F.col("size"))
+    taken = ranked.select(F.col("source").alias("s"), F.col("block").alias("b"), F.when(room > 0, room).alias("room"), (F.col("upto") <= F.col("limit")).alias("whole"), F.col("rank").alias("block_rank"))
+    placed = dealt.join(taken, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).drop("s", "b")
+    placed = materialize(placed.withColumn("order_key", F.xxhash64("doc_id", F.lit(SEED + 1))), "placed")
     release_shuffles(units.sparkSession)
-    rank = Window.partitionBy("source", "block").orderBy(F.xxhash64("doc_id", F.lit(SEED + 1)), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    rank = Window.partitionBy("source", "block").orderBy("order_key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    # Documents are put in order in the one block a source that is taken in part.
     edge = placed.where("room IS NOT NULL AND NOT whole").withColumn("extra", (F.sum("n_tokens").over(rank) <= F.col("room")).cast("long"))
-    plain = placed.where("room IS NULL OR whole").withColumn("extra", F.when(F.col("whole"), 1).otherwise(0).cast("long"))
-    return plain.unionByName(edge).select("doc_id", "source", "n_tokens", "weight", "block", (F.col("passes") + F.col("extra")).alias("copies"))
+    plain = placed.where("room IS NULL OR whole").withColumn("extra", F.when(F.col("room").isNotNull(), 1).otherwise(0).cast("long"))
+    return plain.unionByName(edge).select("doc_id", "source", "n_tokens", "weight", "block", "block_rank", "order_key", (F.col("passes") + F.col("extra")).alias("copies"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,10 +121,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def realise(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """``docs`` with each row as often as decided."""
-    times = decisions.where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("copies").alias("__copies"))
-    met = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")))
-    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    i, source, copies, copy = fresh(docs.columns, "id", "source", "copies", "copy")
+    times = decisions.where("copies > 0").select(F.col("doc_id").alias(i), F.col("source").alias(source), F.col("copies").alias(copies))
+    met = docs.join(times, F.col("doc_id").eqNullSafe(F.col(i)) & F.col("source").eqNullSafe(F.col(source)))
+    return met.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` with each document as often as its source's weight asks; none that its source has no room for.
+
+    Nulls, repeated rows, ties and empty tables are as above; all columns pass through.
+    """
     return realise(docs, mix(docs.select("doc_id", "source", word_count().alias("n_tokens"))))

@@ -1,20 +1,28 @@
 """Quality by positive-unlabelled learning: the non-negative unbiased risk, minimised from moments of all documents.
 
 Trusted positives are training documents labelled 1; the unlabelled set is every training document.
-A text becomes a short vector of ratios, expanded by steps into an additive model f.  With squared
-loss both risks are quadratic in f's weights, so second moments, summed over all documents in one
-distributed pass, hold everything the risk needs; one task receives matrices of a fixed size and
-descends on  prior*R_p(+1) + max(0, R_u(-1) - prior*R_p(-1)).  The prior is the share of label 1
-among labelled training documents (0.5 if there are none).
-
-Defined cases: a null text is empty and gets a score like any other; labels that contradict each
-other for a document count as 0; without any trusted positive every score is the prior; repeated
-rows count and score each; other columns are ignored.
+Labels 0 are not used: neither by the fit nor by the prior.  A text becomes a short vector of ratios,
+expanded by steps into an additive model f.  With squared loss both risks are quadratic in f's
+weights, so second moments, summed over all documents in one distributed pass, hold everything the
+risk needs: matrices of a fixed size, on which one task descends on
+prior*R_p(+1) + max(0, R_u(-1) - prior*R_p(-1)).
+
+The class prior is estimated from positives and unlabelled texts alone.  A least-squares fit of the
+ratio of their densities, from the same moments, ranks all documents; among those above a cut that
+few negatives reach, the share of unlabelled texts over that of positives comes down to the prior.
+The cut with the least such ratio, widened by what chance may do to both shares, decides it.
+
+Defined cases: a null text is empty and gets a score like any other; a document that is labelled
+both 1 and 0 is no trusted positive; without any trusted positive every score is the prior, 0.5;
+repeated rows count and score each; equal texts have equal scores, and a score on the threshold
+counts as 1; an empty table gives no rows; a very long text is read whole, at some 60 bytes a word;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +38,9 @@ N_RATIOS = 18
 RIDGE = 1e-4
 #: Partial moment matrices meet in so many tasks.
 MERGERS = 16
+#: Bins of the density ratio, and bounds of an estimated prior.
+BINS = 4096
+PRIOR_RANGE = (0.01, 0.99)
 
 _CLASS = np.full(256, 9, np.int64)  # 9: other
 for _k, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\x0b\x0c", b"\n", b"#*$%&<>", b"!?", b"|", b".,;:'\"-()")):
@@ -87,39 +98,96 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, N_RATIOS)
 
 
-def learn(table: DataFrame, prior: float) -> np.ndarray:
-    """Weights from the ratios (x) and marks (positive) of all training rows.
+def moments(table: DataFrame) -> DataFrame:
+    """Sums of outer products of the model's inputs over all training rows (u) and over the positive ones (p), for each half of the rows.
 
-    Each task sums outer products over its rows, unlabelled and positive; the sums, of a fixed size,
-    meet in ``MERGERS`` tasks and then in one, which descends and returns the weights alone.
+    Each task sums over its rows; the sums, of a fixed size, meet in ``MERGERS`` tasks and then in
+    one row, ``m``, which is written down.
     """
     d = 1 + N_RATIOS * (1 + len(STEPS))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        sums = np.zeros((2, d, d))
+        sums = np.zeros((2, 2, d, d))
         for batch in batches:
-            z, yes = expand(_matrix(batch.column("x"))), batch.column("positive").to_numpy(zero_copy_only=False).astype(bool)
-            sums += np.stack([z.T @ z, z[yes].T @ z[yes]])
+            z, half, yes = expand(_matrix(batch.column("x"))), batch.column("half").to_numpy(), batch.column("positive").to_numpy(zero_copy_only=False).astype(bool)
+            for k in (0, 1):
+                u, p = z[half == k], z[(half == k) & yes]
+                sums[k] += np.stack([u.T @ u, p.T @ p])
         yield pa.RecordBatch.from_pydict({"merger": pa.array([TaskContext.get().partitionId() % MERGERS]), "m": pa.array([sums.tobytes()], pa.binary())})
 
-    def total(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        sums = np.zeros((2, d, d))
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(4 * d * d)
         for batch in batches:
             for m in batch.column("m"):
-                sums += np.frombuffer(m.as_buffer(), np.float64).reshape(2, d, d)
-        return sums
+                sums += np.frombuffer(m.as_buffer(), np.float64)
+        yield pa.RecordBatch.from_pydict({"m": pa.array([sums.tobytes()], pa.binary())})
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_pydict({"m": pa.array([total(batches).tobytes()], pa.binary())})
+    sums = table.mapInArrow(partial, "merger long, m binary").repartition(MERGERS, "merger").mapInArrow(merge, "m binary")
+    return materialize(sums.repartition(1).mapInArrow(merge, "m binary"), "moments")
+
+
+def solved(sums: DataFrame, solve: Callable[[list[dict[str, np.ndarray]]], np.ndarray]) -> np.ndarray:
+    """What ``solve`` makes of the moments of both halves, worked out in a task; only the weights come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for m in batch.column("m"):
+                flat = np.frombuffer(m.as_buffer(), np.float64)
+                halves = flat.reshape(2, 2, *[math.isqrt(len(flat) // 4)] * 2)
+                yield pa.RecordBatch.from_pydict({"w": pa.array([solve([{"u": u, "p": p} for u, p in halves]).tobytes()], pa.binary())})
+
+    return np.frombuffer(sums.mapInArrow(run, "w binary").first()["w"], np.float64)
+
+
+def ratio_weights(sums: dict[str, np.ndarray]) -> np.ndarray:
+    """Least-squares weights of the ratio of the positives' density to that of all; zeros without positives."""
+    if not sums["p"][0, 0]:
+        return np.zeros(len(sums["p"]))
+    a_u, m_p = sums["u"] / sums["u"][0, 0], sums["p"][0] / sums["p"][0, 0]
+    return np.linalg.solve(a_u + RIDGE * np.eye(len(a_u)), m_p)
+
+
+def ranked(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The bin of each row's density ratio, by r / (1 + r)."""
+    r = np.maximum(expand(x) @ weights, 0)
+    return np.minimum((r / (1 + r) * BINS).astype(np.int64), BINS - 1)
+
+
+def prior_from(unlabelled: np.ndarray, positive: np.ndarray) -> float:
+    """The class prior from counts by bin: the least share of unlabelled over positive rows above a cut, allowing for chance."""
+    n_u, n_p = unlabelled.sum(), positive.sum()
+    q_u, q_p = np.cumsum(unlabelled[::-1]) / n_u, np.cumsum(positive[::-1]) / n_p
+    some = q_p > 0
+    slack = math.sqrt(math.log(40) / 2) * (1 / math.sqrt(n_u) + 1 / math.sqrt(n_p))
+    at = int(np.argmin((q_u[some] + slack) / q_p[some]))
+    return float(np.clip(q_u[some][at] / q_p[some][at], *PRIOR_RANGE))
 
-    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u, p = total(batches)
-        yield pa.RecordBatch.from_pydict({"w": pa.array([fit({"u": u, "p": p}, prior).tobytes()], pa.binary())})
 
-    sums = table.select("x", "positive").mapInArrow(partial, "merger long, m binary").repartition(MERGERS, "merger").mapInArrow(merge, "m binary")
-    return np.frombuffer(sums.repartition(1).mapInArrow(descend, "w binary").first()["w"], np.float64)
+def class_prior(table: DataFrame, sums: DataFrame) -> float:
+    """The share of positives among all, from two histograms of a fixed size; 0.5 without any positive.
+
+    A half of the rows is ranked by the fit of the other, so that no row ranks itself.
+    """
+    weights = solved(sums, lambda halves: np.concatenate([ratio_weights(m) for m in halves[::-1]])).reshape(2, -1)
+    if not weights.any():
+        return 0.5
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = np.zeros((2, BINS), np.int64)
+        for batch in batches:
+            x, half, yes = _matrix(batch.column("x")), batch.column("half").to_numpy(), batch.column("positive").to_numpy(zero_copy_only=False).astype(bool)
+            at = np.where(half == 0, ranked(x, weights[0]), ranked(x, weights[1]))
+            both += np.stack([np.bincount(at, minlength=BINS), np.bincount(at[yes], minlength=BINS)])
+        some = np.flatnonzero(both[0])
+        yield pa.RecordBatch.from_pydict({"bin": pa.array(some), "u": pa.array(both[0, some]), "p": pa.array(both[1, some])})
+
+    rows = table.mapInArrow(count, "bin long, u long, p long").groupBy("bin").agg(F.sum("u").alias("u"), F.sum("p").alias("p")).collect()
+    u, p = np.zeros(BINS), np.zeros(BINS)  # of the bounded number of bins
+    for r in rows:
+        u[r["bin"]], p[r["bin"]] = r["u"], r["p"]
+    return prior_from(u, p)
 
 
 def fit(sums: dict[str, np.ndarray], prior: float, rounds: int = 300) -> np.ndarray:
@@ -156,10 +224,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     """doc_id, held_out, score and predicted for each row of ``docs``."""
     table = materialize(featurize(docs), "ratios")
     marked = labels.where(F.coalesce(fold("doc_id", FOLDS) != 0, F.lit(False)) & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    joined = table.where("train").join(marked, "doc_id", "left").withColumn("positive", F.coalesce(F.col("quality") == 1, F.lit(False)))
-    known = marked.agg(F.avg((F.col("quality") == 1).cast("double")).alias("p")).first()["p"]
-    prior = 0.5 if known is None else float(known)
-    weights = learn(joined, prior)
+    trusted = marked.where("quality = 1").select(F.col("doc_id").alias("id"), F.lit(True).alias("yes"))
+    joined = table.where("train").join(trusted, F.col("doc_id") == F.col("id"), "left").select("x", F.pmod(F.xxhash64("x"), F.lit(2)).cast("int").alias("half"), F.coalesce("yes", F.lit(False)).alias("positive"))
+    sums = moments(joined)
+    prior = class_prior(joined, sums)
+    weights = solved(sums, lambda halves: fit({k: halves[0][k] + halves[1][k] for k in "up"}, prior))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -83,6 +83,57 @@ def test_quality_risk_stays_non_negative():
     assert risk > -0.02
 
 
+def brute_ratios(text):
+    """The features in plain Python."""
+    import re
+
+    raw = (text or "").encode()
+    kinds = [re.compile(x) for x in (rb"[a-z]", rb"[A-Z]", rb"[0-9]", rb"[ \t\r\x0b\x0c]", rb"\n", rb"[#*$%&<>]", rb"[!?]", rb"\|", rb"[.,;:'\"()-]")]
+    k = [len(x.findall(raw)) for x in kinds]
+    high = sum(b >= 128 for b in raw)
+    n, letters, w = max(len(raw), 1), max(k[0] + k[1] + high, 1), raw.split()
+    lines, five = [x for x in raw.split(b"\n") if x.strip()], [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    m = max(len(w), 1)
+    return [k[1] / letters, *(x / n for x in k[2:]), (len(raw) - sum(k) - high) / n, high / n, sum(x[-1:] in (b"#", b"*", b"$", b"%", b"&", b"<", b">", b"!", b"|", b"@", b"^", b"~", b"=", b"+", b"_") for x in w) / m, len(set(w)) / m, 1 - len(set(lines)) / max(len(lines), 1), 1 - len(set(five)) / max(len(five), 1), min(math.log1p(len(w)) / 12, 1), min(len(raw) / m / 20, 1), min(max(map(len, w), default=0) / 50, 1), min(len(lines) / m * 5, 1)]
+
+
+def test_quality_equals_brute_force(spark, docs):
+    """Features, moments, prior and score of every document, from plain Python and numpy on all rows at once."""
+    rows = [r for r in made_docs()]
+    yes = {i for i in range(60) if i % 3}
+    labels = spark.createDataFrame([(i, int(i in yes), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    x = np.array([brute_ratios(r[1]) for r in rows], np.float32)
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    train = np.array([r[0] is not None and fold(r[0]) != 0 for r in rows])
+    positive = train & np.array([r[0] in yes for r in rows])
+    half = np.array([r.h for r in spark.createDataFrame([(k, v.tobytes()) for k, v in enumerate(x)], "k int, x binary").selectExpr("k", "pmod(xxhash64(x), 2) AS h").orderBy("k").collect()])
+    z = np.hstack([np.ones((len(x), 1)), x, (x[:, :, None] > quality.STEPS).reshape(len(x), -1)]).astype(np.float64)
+    sums = [{"u": z[train & (half == h)].T @ z[train & (half == h)], "p": z[positive & (half == h)].T @ z[positive & (half == h)]} for h in (0, 1)]
+    bins = np.empty(len(x), np.int64)
+    for h in (0, 1):
+        m = sums[1 - h]
+        w = np.linalg.solve(m["u"] / m["u"][0, 0] + quality.RIDGE * np.eye(z.shape[1]), m["p"][0] / m["p"][0, 0])
+        r = np.maximum(z[half == h] @ w, 0)
+        bins[half == h] = np.minimum((r / (1 + r) * quality.BINS).astype(int), quality.BINS - 1)
+    count = lambda some: np.bincount(bins[some], minlength=quality.BINS)
+    prior = quality.prior_from(count(train), count(positive))
+    w = quality.fit({k: sums[0][k] + sums[1][k] for k in "up"}, prior)
+    expected = {r[0]: s for r, s in zip(rows, quality.squash((z @ w + 1) / 2), strict=True)}
+    got = collected(quality.score_documents(clashing(docs), labels))
+    assert set(got) == {r[0] for r in rows} - {None}
+    for i, r in got.items():
+        assert r.score == pytest.approx(expected[i], abs=1e-5) and r.held_out == (fold(i) == 0) and r.predicted == int(r.score >= 0.3)
+
+
+def test_quality_prior_needs_no_negatives():
+    """Where positives and others overlap, and all labels are 1."""
+    rng = np.random.default_rng(2)
+    for share in (0.2, 0.5, 0.9):
+        bins = np.where(rng.random(20_000) < share, rng.integers(40, 100, 20_000), rng.integers(0, 70, 20_000))
+        known = rng.integers(40, 100, 5_000)
+        assert quality.prior_from(np.bincount(bins, minlength=100), np.bincount(known, minlength=100)) == pytest.approx(share, abs=0.06)
+
+
 def test_quality_odd_cases(spark, docs, empty):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(1, 0, 0), (None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
     got = quality.score_documents(clashing(docs), labels).collect()
@@ -160,6 +211,21 @@ def test_near_duplicates_equal_brute_force(docs, size):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    """Texts A and B are apart; an id that has both links their classes, wherever its rows come in order."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    near = a + " a30"
+    for rows, expected in (
+        ([(2, a), (4, b), (9, a), (9, b)], {2: 2, 4: 2, 9: 2}),
+        ([(1, a), (1, b), (7, b), (8, near), (9, c)], {1: 1, 7: 1, 8: 1, 9: 9}),
+        ([(5, a), (5, b), (6, a), (6, b), (3, c)], {5: 5, 6: 5, 3: 3}),
+        ([(5, a), (5, c), (6, b), (6, c), (6, a), (6, ""), (4, None)], {5: 5, 6: 5, 4: 4}),
+    ):
+        for some in (rows, rows[::-1]):
+            got = minhash.near_duplicates(spark.createDataFrame(some, "doc_id long, text string"), 2).collect()
+            assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got if r.n_shingles or r.doc_id == 4} == expected
+
+
 def test_near_duplicate_chains(spark, empty):
     # Each text is near the next one only, so that no centre links them all.
     base = [f"w{k}" for k in range(100)]
@@ -388,6 +454,58 @@ def test_mixing_meets_budgets(spark, empty):
     assert mixing.mix(empty.select("doc_id", "source", mixing.word_count().alias("n_tokens"))).count() == 0
 
 
+def test_mixing_equals_brute_force(spark):
+    """Copies, blocks and their order, worked out again from hashes that Spark gives."""
+    rng = random.Random(12)
+    rows = [(i, rng.choice(["big"] * 7 + ["mid"] * 2 + ["small"]), rng.randint(0, 90)) for i in range(700)]
+    units = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
+    mixing_block = mixing.BLOCK_TOKENS
+    try:
+        mixing.BLOCK_TOKENS = 1500
+        got = {r.doc_id: r for r in mixing.mix(units, target_entropy=0.85).collect()}
+    finally:
+        mixing.BLOCK_TOKENS = mixing_block
+    hashed = {r.doc_id: (r.x, r.y) for r in units.select("doc_id", F.xxhash64("doc_id", F.lit(mixing.SEED)).alias("x"), F.xxhash64("doc_id", F.lit(mixing.SEED + 1)).alias("y")).collect()}
+    tokens = Counter()
+    for _, s, n in rows:
+        tokens[s] += n
+    total = sum(tokens.values())
+
+    def weights(alpha):
+        power = {s: (n / total) ** alpha for s, n in tokens.items()}
+        return {s: p / sum(power.values()) for s, p in power.items()}
+
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        enough = -sum(w * math.log(w) for w in weights(mid).values()) >= 0.85 * math.log(3)
+        low, high = (mid, high) if enough else (low, mid)
+    weight = weights(low)
+    if max(weight[s] * total / tokens[s] for s in tokens) > mixing.REPEAT_LIMIT:
+        low, high = low, 1.0
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if max(w * total / tokens[s] for s, w in weights(mid).items()) > mixing.REPEAT_LIMIT else (low, mid)
+        weight = weights(high)
+    for s in tokens:
+        goal, blocks = weight[s] * total, -(-tokens[s] // 1500)
+        passes = math.floor(goal / tokens[s] + 1e-6)
+        room, mine = max(0.0, goal - passes * tokens[s]), defaultdict(list)
+        for i, source, n in rows:
+            if source == s:
+                mine[hashed[i][0] % blocks].append((hashed[i][1], i, n))
+        place = {r.block: r.h for r in spark.createDataFrame([(s, b) for b in mine], "source string, block long").select("block", F.xxhash64("source", "block", F.lit(mixing.SEED)).alias("h")).collect()}
+        for rank, b in enumerate(sorted(mine, key=lambda b: (place[b], b))):
+            size = sum(n for _, _, n in mine[b])
+            upto, full = 0, size <= room
+            for key, i, n in sorted(mine[b]):
+                upto += n
+                r = got[i]
+                assert (r.block, r.block_rank, r.order_key) == (b, rank, key) and r.weight == pytest.approx(weight[s], rel=1e-6)
+                assert r.copies == passes + (room > 0 and (full or upto <= room))
+            room -= size
+
+
 # 7
 
 
@@ -469,6 +587,21 @@ def test_urls_equal_sql_and_rules(spark):
     assert verdict[4] == ("example.org/es/", "block") and verdict[5] == (None, "allow") and verdict[12] == (None, "block") and verdict[13] == (None, "allow")
 
 
+def test_urls_by_tables(spark):
+    """Vocabulary and rules from tables, with clashing columns, and an empty table of pages."""
+    terms = spark.createDataFrame([("BAD", "strict"), ("bad", "soft"), ("a", "soft"), ("b", "soft"), ("", "strict"), (None, "soft")], "term string, weight string")
+    strict, soft = url_filter.vocabulary_of(terms)
+    assert strict == ["bad"] and soft == ["a", "b", "bad"]
+    rules = url_filter.rules_of(spark.createDataFrame([("x.net", "/p", "allow"), ("net", "/p/long", "block"), ("x.net", "/p/", "block"), (None, "/", "allow")], "host string, path string, verdict string"))
+    pages = spark.createDataFrame([(1, "http://x.net/p/long"), (2, "http://y.x.net/pq"), (3, "http://x.net/p/l"), (4, "http://q/Bad"), (5, "http://q/badly"), (6, "http://a/b"), (7, "http://a/a"), (8, "http://" + "y." * 5000 + "net/p/long")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages.withColumns({"rule": F.lit(1), "path": F.lit(2)}), strict, soft, rules).collect()}
+    assert got == {1: ("net/p/long", "block"), 2: ("x.net/p", "allow"), 3: ("x.net/p/", "block"), 4: (None, "block"), 5: (None, "allow"), 6: (None, "block"), 7: (None, "allow"), 8: ("net/p/long", "block")}
+    assert url_filter.judge_urls(pages.limit(0)).count() == 0
+    assert {r.verdict for r in url_filter.judge_urls(pages, [], [], []).collect()} == {"allow"}
+    with pytest.raises(ValueError):
+        url_filter.vocabulary_of(spark.range(10).selectExpr("repeat(cast(id AS string), 10000000) AS term", "'soft' AS weight"))
+
+
 # 9
 
 
@@ -575,3 +708,19 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(c > 0 for _, c in seen) and seen[0][1] > seen[1][1]
     check_packing(current.collect())
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_pipeline_of_nothing(spark, tmp_path, empty):
+    import corpus_pipeline
+
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_pass_clashing_columns_through(spark, docs):
+    import corpus_pipeline
+
+    more = clashing(docs)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, more, "")
+        assert out.columns == more.columns and out.where("__copies = 1 AND __had = 1 AND __c = 1 AND host = 1").count() == out.count() > 0
