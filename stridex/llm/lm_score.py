@@ -19,8 +19,8 @@ of the automaton that its own words can reach, with exact corpus-wide counts (se
 Defined cases: a null or empty text holds the end token alone; repeated rows count and score each;
 an empty table gives no rows; without training tokens all words are unknown; a null doc_id is
 neither trained on nor held out; a very long text is a block of its own and is held whole by one
-task, at some 150 bytes a token; nothing here rests on order, so there are no ties; other columns
-are ignored.  Words, pairs and triples are told apart by 64-bit hashes.
+task, at some 300 bytes a token; nothing here rests on order, so there are no ties; other columns
+are ignored.  Words are told apart by 64-bit hashes, pairs and triples by 56 bits.
 """
 
 from __future__ import annotations
@@ -40,6 +40,10 @@ MASS = (200.0, 5.0)
 STRETCH = 512
 END, BEGIN = b" ", b"\n"  # no word can equal these
 UNIGRAM, BIGRAM, TRIGRAM = 0, 1, 2
+#: Text in a block: a task holds some 60 bytes for each byte of it.
+BLOCK_BYTES = 6_000_000
+#: Bits of the hash of a pair or triple that count; the rest need not be sent.
+KEPT = np.uint64((1 << 64) - (1 << 8))
 
 
 class Streams:
@@ -57,12 +61,22 @@ class Streams:
         before = np.empty_like(self.tokens)
         before[1:] = self.tokens[:-1]
         before[self.starts] = hashes[BEGIN]
-        self.pairs = mixed(before * MIX + self.tokens)
+        self.pairs = mixed(before * MIX + self.tokens) & KEPT
         #: Where a pair, the beginning among its words, comes before the token; the first token of a text has no triple.
         self.later = np.ones(len(self.tokens), bool)
         self.later[self.starts] = False
-        self.later = np.flatnonzero(self.later)
-        self.triples = mixed(self.pairs[self.later - 1] * MIX + self.tokens[self.later])
+        self.later = np.flatnonzero(self.later).astype(np.int32)
+        self.triples = mixed(self.pairs[self.later - 1] * MIX + self.tokens[self.later]) & KEPT
+
+
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct key comes, in the order of the keys, and which of them each key is."""
+    order = np.argsort(keys, kind="stable").astype(np.int32)
+    ordered = keys[order]
+    new = np.r_[True, ordered[1:] != ordered[:-1]][: len(keys)]
+    which = np.empty(len(keys), np.int32)
+    which[order] = np.cumsum(new, dtype=np.int32) - 1
+    return order[new], which
 
 
 class Automaton:
@@ -73,9 +87,9 @@ class Automaton:
     """
 
     def __init__(self, s: Streams, counts: list[np.ndarray], types: int, n: int, mass: tuple[float, float]):
-        _, first, self.word = np.unique(s.tokens, return_index=True, return_inverse=True)
-        _, pair_first, pair = np.unique(s.pairs, return_index=True, return_inverse=True)
-        _, triple_first = np.unique(s.triples, return_index=True)
+        first, self.word = numbered(s.tokens)
+        pair_first, pair = numbered(s.pairs)
+        triple_first, _ = numbered(s.triples)
         one, two, three = (c.astype(np.float64) for c in counts)
         v = len(first)
         self.width, self.begin, first_pair = v + 1, 1 + v, 2 + v
@@ -86,7 +100,7 @@ class Automaton:
         end = self.word[s.starts[0] + s.sizes[0] - 1]
         history = np.r_[one, one[end]]
         # The word before the last one of each pair, or the beginning.
-        before = np.empty(len(s.tokens), np.int64)
+        before = np.empty(len(s.tokens), np.int32)
         before[1:] = self.word[:-1]
         before[s.starts] = v
         pair_before, pair_word = before[pair_first], self.word[pair_first]
@@ -95,7 +109,8 @@ class Automaton:
         triple_pair, triple_word = pair[at - 1], self.word[at]
         third = (three + mass[1] * second[pair[at]]) / (two[triple_pair] + mass[1])
         seen2, seen3 = two > 0, three > 0
-        key = np.r_[(1 + pair_before[seen2]) * self.width + pair_word[seen2], (first_pair + triple_pair[seen3]) * self.width + triple_word[seen3]]
+        wide = lambda x: x.astype(np.int64)
+        key = np.r_[(1 + wide(pair_before[seen2])) * self.width + pair_word[seen2], (first_pair + wide(triple_pair[seen3])) * self.width + triple_word[seen3]]
         log = np.log10(np.r_[second[seen2], third[seen3]])
         to = first_pair + np.r_[np.flatnonzero(seen2), pair[at][seen3]]
         order = np.argsort(key)
@@ -152,7 +167,7 @@ def score_documents(docs: DataFrame, mass: tuple[float, float] = MASS) -> DataFr
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", F.col("text").cast("string"), F.coalesce(fold("doc_id", FOLDS) != HELD, F.lit(False)).alias("train"), held_out("doc_id", FOLDS, HELD).alias("held_out"))
-    blocks = in_blocks(docs, "lm-blocks")
+    blocks = in_blocks(docs, "lm-blocks", BLOCK_BYTES)
     shards = blocks.shards
 
     def send(block: int, rows: pa.Table) -> pa.Table:

@@ -538,7 +538,7 @@ def brute_scores(rows, mass):
 @pytest.mark.parametrize(("stretch", "block_bytes"), [(512, 10_000_000), (3, 5_000)])
 def test_lm_scores_equal_brute_force(docs, empty, monkeypatch, stretch, block_bytes):
     """With short stretches and small blocks as with long ones."""
-    monkeypatch.setattr("stridex.llm.blocks.BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", block_bytes)
     read = lm_score.Automaton.read
     monkeypatch.setattr(lm_score.Automaton, "read", lambda self, s: read(self, s, stretch))
     got = collected(lm_score.score_documents(clashing(docs)))
