@@ -5,8 +5,8 @@ copies in any number cost nothing.  The graph starts from several
 deals into small random groups.  Each round joins
 every node with its neighbours and a sample of reverse neighbours, compares those with each other
 (neighbours of neighbours), sends each the best it met, and keeps the best ``K`` a node; rounds end
-when few entries change.  A query enters at its own node (any other vector: at sampled nodes), and
-each step expands its best unexpanded nodes by joins with the graph, until ``STEPS`` or nothing is
+when few entries change.  A query is a row of the table: it enters at its own node and that node's
+neighbours, and each step expands its best unexpanded nodes by joins with the graph, until ``STEPS`` or nothing is
 left.  Graph and search compare 32-bit forms of the vectors in double precision and hold the cosine
 less one, so that near-copies are told apart; all of the best ``POOL`` are then ranked by the
 exact cosine of the original vectors in double precision.
