@@ -19,6 +19,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each piece of each document that is left goes, after all stages over the whole of ``documents``.
+
+    What a stage does with nulls, empty and very long texts, ties, repeated rows and clashing columns
+    stands in its own docstring; an empty table gives no rows.  A stage's table is written before the
+    next one reads it, so a lost executor costs tasks of one stage only.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
