@@ -29,6 +29,8 @@ BLOCK_BYTES = 10_000_000
 SHARDS_A_BLOCK = 2
 SENT = "block long, kind int, shard int, n int, keys binary, counts binary"
 ANSWER = "block long, kind int, shard int, n int, totals binary, n_keys long, n_total long, most long"
+#: Of compression: blocks are written once, and shuffled once or twice.
+LEVEL = 6
 #: Blocks are large rows; small groups of them keep readers small.
 ROW_GROUP = 16 << 20
 
@@ -70,7 +72,7 @@ def in_blocks(docs: DataFrame, name: str, block_bytes: int | None = None) -> Blo
 
     def closed(held: list[pa.RecordBatch], block: int, size: int) -> pa.RecordBatch:
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))) as writer:
             for batch in held:
                 writer.write_batch(batch)
         return pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "size": pa.array([size], pa.int64()), "data": pa.array([sink.getvalue().to_pybytes()], pa.binary())})

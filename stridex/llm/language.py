@@ -30,12 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stridex.llm.blocks import in_blocks
-from stridex.llm.common import fold, held_out, materialize, release_shuffles, small_batches
+from stridex.llm.common import fold, held_out, materialize, small_batches
 
 ORDER = 3
 FOLDS = 5
 UNKNOWN = "und"
 CHUNK = 1_000_000
+#: Text in a block: large ones have fewer distinct codes for their size; a task holds some ten bytes for each of theirs.
+BLOCK_BYTES = 32_000_000
 _LETTER = re.compile(r"[^\W\d_]")
 _PAD = b"\0" * ORDER
 
@@ -223,7 +225,7 @@ def learn_and_identify(docs: DataFrame, training: DataFrame) -> DataFrame:
     langs = sorted(low)
     shared = spark.sparkContext.broadcast(low)
     rows, schema = flagged(docs)
-    blocks = in_blocks(rows, "language-blocks")
+    blocks = in_blocks(rows, "language-blocks", BLOCK_BYTES)
     shards = blocks.shards
 
     def send(block: int, some: pa.Table) -> pa.Table:
@@ -256,8 +258,7 @@ def learn_and_identify(docs: DataFrame, training: DataFrame) -> DataFrame:
 
     asked = blocks.each(send, "block long, shard int, keys binary")
     owned = table.withColumn("shard", (F.shiftright("code", 8).bitwiseAND(F.lit(0xFFFF)) * 40503).bitwiseAND(F.lit(0xFFFF)) % shards).withColumn("shard", F.col("shard").cast("int"))
-    answers = materialize(asked.groupBy("shard").cogroup(owned.groupBy("shard")).applyInArrow(answer, "block long, keys binary, bits binary"), "bits")
-    release_shuffles(spark)
+    answers = asked.groupBy("shard").cogroup(owned.groupBy("shard")).applyInArrow(answer, "block long, keys binary, bits binary")
     return blocks.told(answers, predict, schema)
 
 

@@ -336,7 +336,8 @@ def test_language_keeps_small_languages(spark, tmp_path):
 
 
 def test_language_in_shards_equals_one_piece(docs, monkeypatch):
-    monkeypatch.setattr("stridex.llm.blocks.BLOCK_BYTES", 10_000)
+    monkeypatch.setattr(language, "BLOCK_BYTES", 10_000)
+    monkeypatch.setattr(language, "CHUNK", 1_000)
     whole = language.identify(docs, language.train(docs))
     parts = language.learn_and_identify(clashing(docs), docs)
     assert sorted(map(repr, parts.collect())) == sorted(map(repr, whole.collect()))
