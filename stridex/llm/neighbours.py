@@ -4,8 +4,10 @@ Equal vectors form a class; its smallest id is the node, and its few smallest id
 copies in any number cost nothing.  The graph starts from several
 deals into small random groups.  Each round joins
 every node with its neighbours and a sample of reverse neighbours, compares those with each other
-(neighbours of neighbours), sends each the best it met, and keeps the best ``K`` a node; rounds end
-when few entries change.  A query is a row of the table: it enters at its own node and that node's
+(neighbours of neighbours; a pair of which neither entry is new was met before and is left out, and
+a node with no new entry takes no part), sends each the best it met, and keeps the best ``K`` a node;
+rounds end when few entries change.  What a node hears is cut to its best ``K`` within each task
+before it is sent, so a hub hears ``K`` from each task and not ``TOLD`` from each node that lists it.  A query is a row of the table: it enters at its own node and that node's
 neighbours, and each step expands its best unexpanded nodes by joins with the graph, until ``STEPS`` or nothing is
 left.  Graph and search compare 32-bit forms of the vectors in double precision and hold the cosine
 less one, so that near-copies are told apart; all of the best ``POOL`` are then ranked by the
@@ -64,88 +66,120 @@ def prepare(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return usable.mapInArrow(compute, "id long, key binary, exact binary, short binary").groupBy("id").agg(F.min(F.struct("key", "exact", "short")).alias("r")).select("id", "r.*")
 
 
-def units(column) -> np.ndarray:
+def units(column, rows: int | None = None) -> np.ndarray:
     """32-bit components as unit rows in double precision."""
-    x = np.frombuffer(b"".join(column), np.float32).reshape(len(column), -1).astype(np.float64)
+    x = np.frombuffer(b"".join(column), np.float32).reshape(rows or len(column), -1).astype(np.float64)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def stored(table: pa.Table, column: str) -> np.ndarray:
+    """``units`` of a column of equally long values, straight from its buffer."""
+    array = table[column].combine_chunks()
+    size = len(array[0].as_py())
+    raw = np.frombuffer(array.buffers()[2], np.uint8)
+    first = np.frombuffer(array.buffers()[1], np.int32)[array.offset]
+    return units([raw[first : first + size * len(array)].tobytes()], len(array))
+
+
 def bounds(keys: np.ndarray) -> np.ndarray:
     return np.r_[np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]), len(keys)]
 
 
+def listed(ids: np.ndarray, sizes: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    """One row an id, with its ``sizes`` next values of each column as lists."""
+    offsets = pa.array(np.r_[0, np.cumsum(sizes)], pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in columns.values()]
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *lists], names=["id", *columns])
+
+
 CANDIDATES = "id long, near array<long>, sim array<float>"
+GRAPH = CANDIDATES + ", new array<boolean>"
 
 
 def local_join(rows: DataFrame, told: int) -> DataFrame:
-    """Per node ``v`` compare its members (u, short, least) with each other; each hears of its best, if better than ``least``."""
+    """Per node ``v`` compare its members (u, short, least, new), new ones with all; each hears of its best, if better than ``least``."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups_of(batches, "v"):
             cuts = bounds(table["v"].to_numpy())
-            u, least, x = table["u"].to_numpy(), table["least"].to_numpy(), units(table["short"].to_pylist())
-            ids, near, sims = [], [], []
+            u, least, x = table["u"].to_numpy(), table["least"].to_numpy(), stored(table, "short")
+            new = table["new"].to_numpy(zero_copy_only=False).astype(bool)
+            ids, sizes, near, sims = ([np.empty(0, t)] for t in (np.int64, np.int64, np.int64, np.float32))
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if b - a < 2:
                     continue
                 s = (x[a:b] @ x[a:b].T - 1).astype(np.float32)
+                s[~(new[a:b, None] | new[None, a:b])] = 2 * NEVER
                 np.fill_diagonal(s, 2 * NEVER)
                 t = min(told, b - a - 1)
                 best = np.argpartition(-s, t - 1, axis=1)[:, :t]
                 value = np.take_along_axis(s, best, 1)
                 good = value > least[a:b, None]
-                mine, who = u[a:b], u[a:b][best]
-                for k in np.flatnonzero(good.any(1)):
-                    ids.append(mine[k]), near.append(who[k][good[k]]), sims.append(value[k][good[k]])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(near, pa.list_(pa.int64())), pa.array(sims, pa.list_(pa.float32()))], names=["id", "near", "sim"])
+                hears = good.sum(1)
+                ids.append(u[a:b][hears > 0]), sizes.append(hears[hears > 0]), near.append(u[a:b][best][good]), sims.append(value[good])
+            yield listed(np.concatenate(ids), np.concatenate(sizes), near=np.concatenate(near), sim=np.concatenate(sims))
 
     return rows.sortWithinPartitions("v").mapInArrow(join, CANDIDATES)
 
 
-def keep_best(candidates: DataFrame, count: int) -> DataFrame:
-    """Per id the ``count`` best distinct of all its candidate lists (``old`` tells the graph's own), and how many are new."""
+def merged(candidates: DataFrame, count: int) -> DataFrame:
+    """Per id of a partition the ``count`` best distinct of its lists; ``new`` are those that no list with ``old`` holds."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups_of(batches, "id"):
-            cuts, keys = bounds(table["id"].to_numpy()), table["id"].to_numpy()
             near, sim = table["near"].combine_chunks(), table["sim"].combine_chunks()
-            at, near, sim = near.offsets.to_numpy() - near.offsets[0].as_py(), near.flatten().to_numpy(), sim.flatten().to_numpy()
-            old = np.repeat(table["old"].to_numpy(zero_copy_only=False).astype(bool), np.diff(at))
-            ids, lists, values, fresh = [], [], [], []
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                n, s, o = near[at[a] : at[b]], sim[at[a] : at[b]], old[at[a] : at[b]]
-                by = np.lexsort((~o, n))
-                by = by[np.r_[True, n[by][1:] != n[by][:-1]]]
-                n, s, o = n[by], s[by], o[by]
-                top = np.lexsort((n, -s))[:count]
-                ids.append(keys[a]), lists.append(n[top]), values.append(s[top]), fresh.append(int((~o[top]).sum()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.float32())), pa.array(fresh, pa.int64())], names=["id", "near", "sim", "fresh"])
-
-    return candidates.repartition(partitions(candidates.sparkSession), "id").sortWithinPartitions("id").mapInArrow(merge, CANDIDATES + ", fresh long")
+            each = np.diff(near.offsets.to_numpy())
+            keys, near, sim = np.repeat(table["id"].to_numpy(), each), near.flatten().to_numpy(), sim.flatten().to_numpy()
+            new = ~np.repeat(table["old"].to_numpy(zero_copy_only=False).astype(bool), each)
+            # Of equal neighbours the old one stays, then the best of each id.
+            by = np.lexsort((new, near, keys))
+            by = by[np.r_[True, (near[by][1:] != near[by][:-1]) | (keys[by][1:] != keys[by][:-1])]] if len(by) else by
+            by = by[np.lexsort((near[by], -sim[by], keys[by]))]
+            cuts = bounds(keys[by]) if len(by) else np.zeros(1, np.int64)
+            by = by[np.arange(len(by)) - np.repeat(cuts[:-1], np.diff(cuts)) < count]
+            yield listed(np.unique(keys[by]), np.minimum(np.diff(cuts), count), near=near[by], sim=sim[by], new=new[by])
+
+    return candidates.sortWithinPartitions("id").mapInArrow(merge, GRAPH)
+
+
+def keep_best(told: DataFrame, count: int, graph: DataFrame | None = None) -> DataFrame:
+    """Per id the ``count`` best of ``graph`` and of what it was told, which is cut within each task before it is sent."""
+    lists = lambda df, flag: df.select("id", "near", "sim", F.lit(flag).alias("old"))
+    heard = lists(merged(lists(told, False), count), False)
+    every = heard if graph is None else lists(graph, True).union(heard)
+    return merged(every.repartition(partitions(told.sparkSession), "id"), count)
+
+
+def members(graph: DataFrame, reverse: int, salt: int) -> DataFrame:
+    """(v, u, new): per node its neighbours and a sample of reverse ones, new ones first, if any of them is new."""
+    forward = graph.select(F.col("id").alias("v"), F.explode(F.arrays_zip(F.col("near").alias("u"), F.col("new"))).alias("e")).select("v", F.col("e.u").alias("u"), F.col("e.new").alias("new"))
+    pick = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("new"), F.xxhash64("v", "u", F.lit(salt)), "u"))
+    backward = forward.select(F.col("u").alias("v"), F.col("v").alias("u"), "new").withColumn("n", pick).where(F.col("n") <= reverse).drop("n")
+    # Neighbours and the sample, so the two lists are short.
+    sets = forward.union(backward).groupBy("v").agg(F.collect_set(F.when(F.col("new"), F.col("u"))).alias("fresh"), F.collect_set(F.when(~F.col("new"), F.col("u"))).alias("known"))
+    with_news = sets.where(F.size("fresh") > 0).withColumn("known", F.array_except("known", "fresh"))
+    flagged = lambda c, flag: F.transform(c, lambda u: F.struct(u.alias("u"), F.lit(flag).alias("new")))
+    return with_news.select("v", F.explode(F.concat(flagged("fresh", True), flagged("known", False))).alias("e")).select("v", "e.u", "e.new")
 
 
 def build(nodes: DataFrame, k: int = K, reverse: int = REVERSE, rounds: int = ROUNDS) -> DataFrame:
-    """The graph (id, near, sim) of ``nodes`` (id, short)."""
+    """The graph (id, near, sim, new) of ``nodes`` (id, short)."""
     spark, n = nodes.sparkSession, nodes.count()
     tasks = partitions(spark)
     small_batches(spark, 5000)
-    old = lambda df, flag: df.select("id", "near", "sim", F.lit(flag).alias("old"))
     # Several independent groupings, as one alone would leave each group to itself.
     dealt = F.array(*[F.pmod(F.xxhash64("id", F.lit(g)), F.lit(max(1, n // GROUP))) * GROUPINGS + g for g in range(GROUPINGS)])
-    start = nodes.select(F.explode(dealt).alias("v"), F.col("id").alias("u"), "short", F.lit(NEVER).cast("float").alias("least"))
-    graph = materialize(keep_best(old(local_join(start.repartition(tasks, "v"), k), True), k), "graph")
+    start = nodes.select(F.explode(dealt).alias("v"), F.col("id").alias("u"), "short", F.lit(NEVER).cast("float").alias("least"), F.lit(True).alias("new"))
+    graph = materialize(keep_best(local_join(start.repartition(tasks, "v"), k), k), "graph")
     for r in range(rounds if n > 2 * GROUP else 0):
-        forward = graph.select(F.col("id").alias("v"), F.explode("near").alias("u"))
-        pick = F.row_number().over(Window.partitionBy("v").orderBy(F.xxhash64("v", "u", F.lit(r)), "u"))
-        backward = forward.select(F.col("u").alias("v"), F.col("v").alias("u")).withColumn("n", pick).where(F.col("n") <= reverse).drop("n")
         least = F.when(F.size("near") >= k, F.array_min("sim")).otherwise(F.lit(NEVER).cast("float"))
         member = nodes.join(graph.select("id", least.alias("least")), "id").select(F.col("id").alias("u"), "short", "least")
-        met = forward.union(backward).distinct().join(member, "u").repartition(tasks, "v")
-        new = materialize(keep_best(old(graph, True).union(old(local_join(met, TOLD), False)), k), "graph")
+        met = members(graph, reverse, r).join(member, "u").repartition(tasks, "v")
+        newer = materialize(keep_best(local_join(met, TOLD), k, graph), "graph")
         discard(graph)
-        graph = new
+        graph = newer
         release_shuffles(spark)
-        if graph.agg(F.sum("fresh")).first()[0] < SETTLED * n * k:
+        if graph.agg(F.sum(F.size(F.filter("new", lambda x: x)))).first()[0] < SETTLED * n * k:
             break
     return graph
 
