@@ -1,20 +1,24 @@
 """Equi-joins by strategy, nested-loop joins, and their counting forms.
 
 The strategy is a hint: ``auto`` leaves the choice to Spark, which knows sizes; ``broadcast`` asks
-for a broadcast only where the plan's size estimate of the build side is within a bound in bytes,
-and otherwise falls back to a shuffled hash join.  Estimates come from statistics: no job is run.
+for a broadcast only where the build side, unpacked, is within a bound in bytes, and otherwise falls
+back to a shuffled hash join.  The plan's size estimate is looked at first, and no job is run where
+that is above the bound.  Below it the rows are counted, as files can be far smaller than their rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType, VariantType
 
 from stridex.operators.tiles import fresh
 
 HINTS = {"auto": None, "broadcast": "broadcast", "partitioned": "shuffle_hash", "merge": "merge"}
-#: Estimated bytes up to which a side may be broadcast.  Files are compressed, so the copy in memory may be several times this.
+#: Bytes in memory up to which a side may be broadcast: the driver holds it, and each executor a copy.
 BROADCAST_BYTES = 64 << 20
+#: Bytes that a row of a broadcast table takes besides its columns.
+ROW_BYTES = 56
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -22,12 +26,26 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def fits(df: DataFrame, limit: int) -> bool:
+    """Whether the rows take at most ``limit`` bytes in memory.  One aggregation, which reads no columns but strings; False for nested columns."""
+    if estimated_bytes(df) > limit:
+        return False
+    kinds = [f.dataType for f in df.schema]
+    if any(isinstance(t, ArrayType | MapType | StructType | VariantType) for t in kinds):
+        return False
+    # By place, as names may repeat.
+    named = df.toDF(*(f"c{k}" for k in range(len(kinds))))
+    texts = [F.coalesce(F.sum(F.octet_length(f"c{k}")), F.lit(0)) for k, t in enumerate(kinds) if isinstance(t, StringType | BinaryType)]
+    row = named.agg(F.count(F.lit(1)), *texts).first()
+    return row[0] * (ROW_BYTES + 8 * len(kinds)) + sum(row[1:]) <= limit
+
+
 def hash_join(build: DataFrame, probe: DataFrame, key: str | list[str], strategy: str = "auto", how: str = "inner", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """probe joined with build on key; duplicates on both sides multiply, null keys meet nothing."""
     if strategy not in HINTS:
         raise ValueError(f"unknown strategy {strategy}")
     hint = HINTS[strategy]
-    if hint == "broadcast" and estimated_bytes(build) > broadcast_bytes:
+    if hint == "broadcast" and not fits(build, broadcast_bytes):
         hint = "shuffle_hash"
     return probe.join(build.hint(hint) if hint else build, key, how)
 
@@ -46,7 +64,7 @@ def nested_loop_join(outer: DataFrame, inner: DataFrame, condition: Column, broa
 
     Work grows with the product of the sides; ``band_join`` serves ranges in less.
     """
-    return outer.join(F.broadcast(inner) if estimated_bytes(inner) <= broadcast_bytes else inner, condition)
+    return outer.join(F.broadcast(inner) if fits(inner, broadcast_bytes) else inner, condition)
 
 
 def indexed_join(outer: DataFrame, position: str, source: DataFrame) -> DataFrame:

@@ -214,6 +214,20 @@ def test_join_strategies_show_in_the_plan(spark):
     assert join.nested_loop_join(a, b, a.k < b.k, broadcast_bytes=10).count() == sum(min(k, 100) for k in range(50))
 
 
+def test_broadcast_goes_by_rows_in_memory(spark, tmp_path):
+    """Files that are far smaller than their rows: the plan's estimate is within the bound, the rows are not."""
+    path = str(tmp_path / "t")
+    spark.range(200_000).select((F.col("id") % 7).alias("k"), F.lit("x" * 50).alias("s")).coalesce(1).write.parquet(path)
+    build, probe = spark.read.parquet(path), spark.range(7).withColumnRenamed("id", "k")
+    bound = 8 << 20
+    assert join.estimated_bytes(build) < bound
+    for some in (build, build.select("k")):
+        met = join.hash_join(some, probe, "k", "broadcast", broadcast_bytes=bound)
+        assert "ShuffledHashJoin" in inspect.physical_plan(met) and met.count() == 200_000
+    assert "BroadcastHashJoin" in inspect.physical_plan(join.hash_join(build.limit(100), probe, "k", "broadcast", broadcast_bytes=bound))
+    assert not join.fits(build.select(F.array("k").alias("k")), bound) and join.fits(build.limit(0), 10)
+
+
 def test_band_join_equals_nested_loop(spark):
     left = spark.range(50).withColumnRenamed("id", "x")
     right = spark.createDataFrame([(0, 3), (2, 30), (29, 31)], "low long, high long")
