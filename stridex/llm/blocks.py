@@ -22,7 +22,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridex.llm.common import groups_of, materialize, partitions, small_batches
+from stridex.llm.common import groups_of, lean, materialize, partitions, release, small_batches
 
 #: Bytes of text after which a block is closed: bounds what a task holds, but for a single longer text.
 BLOCK_BYTES = 10_000_000
@@ -45,6 +45,7 @@ class Blocks:
     def each(self, body: Callable[[int, pa.Table], pa.Table], schema: str) -> DataFrame:
         """What ``body(block, rows)`` gives for each block; no row moves."""
 
+        @lean
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for block, data in zip(batch.column("block").to_pylist(), batch.column("data"), strict=True):
@@ -56,7 +57,10 @@ class Blocks:
         """What ``body(block, rows, answers to the block)`` gives; compressed blocks and answers are shuffled."""
 
         def run(own: pa.Table, got: pa.Table) -> pa.Table:
-            return body(own["block"][0].as_py(), rows_of(own["data"][0]), got)
+            try:
+                return body(own["block"][0].as_py(), rows_of(own["data"][0]), got)
+            finally:
+                release()
 
         return self.table.select("block", "data").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
@@ -77,6 +81,7 @@ def in_blocks(docs: DataFrame, name: str, block_bytes: int | None = None) -> Blo
                 writer.write_batch(batch)
         return pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "size": pa.array([size], pa.int64()), "data": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
+    @lean
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -129,6 +134,7 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
 def totals(rows: DataFrame) -> DataFrame:
     """Answers to what the blocks sent.  n_keys, n_total and most (keys with a total above 0, their sum and the largest) stand once for each kind and task."""
 
+    @lean
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups_of(batches, "shard"):
             kinds = table["kind"].to_numpy()

@@ -7,6 +7,8 @@ separates on exactly those six, so texts are handled as UTF-8 bytes throughout.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import shutil
 import tempfile
 import uuid
@@ -89,6 +91,40 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
+#: Memories of this worker that outlive a task, see ``lean``.
+KEPT: list[dict] = []
+
+
+def release() -> None:
+    """Give freed memory back to the system: the allocators keep it for later, and an idle worker's counts with all others'."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def forget() -> None:
+    for memory in KEPT:
+        memory.clear()
+
+
+def lean(body=None, *, keep: bool = False):
+    """Of a function over batches: its task leaves a small worker, and, unless ``keep`` is set, starts without what tasks of other operators remembered."""
+    if body is None:
+        return functools.partial(lean, keep=keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Called by name: a function that is sent to a worker takes copies of the lists that it names itself.
+        if not keep:
+            forget()
+        try:
+            yield from body(batches)
+        finally:
+            release()
+
+    return run
+
+
 def fold(column: str, parts: int) -> Column:
     """crc32 of the id's decimal text modulo ``parts``; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts

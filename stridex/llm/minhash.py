@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridex.llm.common import MIX, WordHash, discard, grams, groups_of, materialize, mixed, release_shuffles, small_batches
+from stridex.llm.common import MIX, WordHash, discard, grams, groups_of, lean, materialize, mixed, release_shuffles, small_batches
 from stridex.llm.graphs import components
 
 ROWS, BANDS, BITS = 6, 42, 2
@@ -87,6 +87,7 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, set_key, low (packed bits) and bands; the last three null for an empty set."""
     small_batches(docs.sparkSession)
 
+    @lean
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in batches:
@@ -121,6 +122,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """id, s: the full sets of the documents in ``wanted`` (doc_id, set_key, id), written down."""
     small_batches(docs.sparkSession)
 
+    @lean
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in batches:
@@ -154,6 +156,7 @@ def nodes_of(sketches: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, linked for each pair a < b, decided on full sets.  A centre's set travels once for a run of its members."""
 
+    @lean
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, held = None, None
         for batch in batches:
@@ -180,6 +183,7 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def finer(sets: DataFrame) -> DataFrame:
     """rep, bits, n, s: the packed finer sketch of each set, its size, and the set itself where it is short."""
 
+    @lean
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = batch.column("s").to_pylist()
@@ -208,6 +212,7 @@ def close_pairs(members: DataFrame, fine: DataFrame) -> DataFrame:
     least = THRESHOLD / 100 - FINE_SLACK
     odd = np.uint64(0x5555555555555555)
 
+    @lean
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups_of(batches, "g"):
             g = table["g"].to_numpy()

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from stridex.llm.common import materialize, small_batches
+from stridex.llm.common import KEPT, lean, materialize, small_batches
 
 CAPACITY = 2048
 END_ID = 0
@@ -111,10 +111,11 @@ class UnitIds(dict):
 
 
 _LOADED: dict[str, UnitIds] = {}
+KEPT.append(_LOADED)
 
 
 def unit_ids(path: str) -> UnitIds:
-    """This worker's memory for a tokenizer file; it outlives the task."""
+    """This worker's memory for a tokenizer file; it outlives the task, until a task of another operator comes."""
     if path not in _LOADED:
         _LOADED[path] = UnitIds(path)
     return _LOADED[path]
@@ -139,6 +140,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, k
     id_type = docs.schema["doc_id"].dataType.simpleString()
     small_batches(docs.sparkSession)
 
+    @lean(keep=True)
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = unit_ids(path)
         end = END_ID.to_bytes(4, "little")
@@ -212,6 +214,7 @@ def pack(table: DataFrame, capacity: int = CAPACITY, group: int = GROUP_PIECES)
     small_batches(table.sparkSession)
     groups = max(1, round(table.count() / group))
 
+    @lean(keep=True)
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

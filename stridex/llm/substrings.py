@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stridex.llm.blocks import SENT, Blocks, answered, in_blocks, sent, totals
-from stridex.llm.common import MIX, WordHash, grams, groups_of, materialize, mixed, release_shuffles
+from stridex.llm.common import MIX, WordHash, grams, groups_of, lean, materialize, mixed, release_shuffles
 
 WINDOW = 20
 PREFIX = 8
@@ -206,6 +206,7 @@ def mark_windows(blocks: Blocks, window: int = WINDOW, prefix: int = PREFIX) ->
         return pa.concat_tables(tables)
 
     def longer(size: int, whole: bool):
+        @lean
         def grow_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 words = np.frombuffer(b"".join(batch.column("words").to_pylist()), np.uint32).reshape(batch.num_rows, 2 * span)
@@ -218,6 +219,7 @@ def mark_windows(blocks: Blocks, window: int = WINDOW, prefix: int = PREFIX) ->
 
         return grow_rows
 
+    @lean
     def subtree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups_of(batches, "part"):
             known = pa.compute.is_null(table["words"])
@@ -235,6 +237,7 @@ def mark_windows(blocks: Blocks, window: int = WINDOW, prefix: int = PREFIX) ->
             for batch in table.append_column("marks", pa.array(marks)).filter(pa.array(marks != 0)).to_batches():
                 yield _marked(batch, batch.column("marks").to_numpy())
 
+    @lean
     def earliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of groups that are one node, the earliest first: all others are marked, and no group is held."""
         node = first = None

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stridex.llm import host_rules, language, lm_score, minhash, mixing, neighbours, packing, quality, substrings, url_filter
+from stridex.llm import common, host_rules, language, lm_score, minhash, mixing, neighbours, packing, quality, substrings, url_filter
 from stridex.llm.graphs import components
 
 FOLDER = "/root/testdata/sf0.001"
@@ -711,6 +711,46 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
 
 
+def test_tasks_leave_a_small_worker():
+    """What a worker's process holds after a task: free pieces go back to the system, and other operators' memories go."""
+    import re
+    from pathlib import Path
+
+    resident = lambda: int(re.search(r"VmRSS:\s+(\d+)", Path("/proc/self/status").read_text())[1]) // 1024
+    last, most = [], []
+
+    def hold(batches):
+        # Pieces that malloc takes from its heap; the last one stays and pins the heap's end.
+        pieces = [np.ones(12_000) for _ in range(3000)]
+        last.append(pieces[-1])
+        most.append(resident())
+        yield from batches
+
+    before = resident()
+    packing._LOADED["test"] = {}
+    try:
+        assert list(common.lean(keep=True)(hold)([1, 2])) == [1, 2]
+        assert most[0] > before + 200 and resident() < before + 100
+        assert "test" in packing._LOADED
+        assert list(common.lean(lambda batches: iter(batches))([3])) == [3]
+        assert not packing._LOADED
+    finally:
+        packing._LOADED.pop("test", None)
+
+
+def test_workers_of_the_pipeline_are_lean():
+    """Every function over batches that the pipeline sends out gives its memory back."""
+    import inspect as py
+
+    from stridex.llm import blocks
+
+    for module in (minhash, substrings, packing, blocks):
+        source = py.getsource(module).split("\n")
+        for k, line in enumerate(source):
+            if line.lstrip().startswith("def ") and "(batches" in line:
+                assert source[k - 1].lstrip().startswith("@lean"), line
+
+
 def test_pipeline_of_nothing(spark, tmp_path, empty):
     import corpus_pipeline
 
